@@ -1,6 +1,15 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import quality_rules
+from . import chat, line_dedup, quality_rules, url_filters
 
-QUERIES = {"op4_quality_rules": quality_rules.query}
-ORACLES = {"op4_quality_rules": quality_rules.SQL}
+QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op4_quality_rules": quality_rules.query,
+    "op5_url_filters": url_filters.query,
+    "op8_chat_formatting": chat.query,
+}
+ORACLES = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op4_quality_rules": quality_rules.SQL,
+    "op8_chat_formatting": chat.SQL,
+}
