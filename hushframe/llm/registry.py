@@ -1,12 +1,13 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import chat, line_dedup, quality_rules, secrets, url_filters
+from . import chat, classifier, line_dedup, quality_rules, secrets, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_url_filters": url_filters.query,
     "op6_secret_scan": secrets.query,
+    "op7_quality_classifier": classifier.query,
     "op8_chat_formatting": chat.query,
 }
 ORACLES = {
