@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, grams, split_words, table
+from .common import WordHashes, grams, split_words, table, with_columns
 
 BITS = 18
 #: Bytes of a word to its shape: letters, digits and other bytes of letters fall together, marks stay.
@@ -64,12 +64,12 @@ def featurise(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataFram
     def run(batches):
         f = Features(bits)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                made = [f.of(t) for t in part[text]]
-                yield part[others].assign(slots=[m[0] for m in made], weights=[m[1] for m in made])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                made = [f.of(t) for t in part.column(text).to_pylist()]
+                yield with_columns(part, others, slots=pa.array([m[0] for m in made], pa.list_(pa.int32())), weights=pa.array([m[1] for m in made], pa.list_(pa.float32())))
 
-    return docs.select(*others, text).mapInPandas(run, schema)
+    return docs.select(*others, text).mapInArrow(run, schema)
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, seed: int = 7) -> np.ndarray:
@@ -127,10 +127,10 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BI
     def run(batches):
         f, w = Features(bits), held.value
         for b in batches:
-            out = [1 / (1 + np.exp(-float(np.dot(w[i], x)))) for i, x in map(f.of, b[text])]
-            yield b[others].assign(score=pd.Series(out, index=b.index, dtype="float64"))
+            out = [1 / (1 + np.exp(-float(np.dot(w[i], x)))) for i, x in map(f.of, b.column(text).to_pylist())]
+            yield with_columns(b, others, score=pa.array(out, pa.float64()))
 
-    return docs.select(*others, text).mapInPandas(run, docs.select(*others).schema.add("score", "double"))
+    return docs.select(*others, text).mapInArrow(run, docs.select(*others).schema.add("score", "double"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3, **training) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +89,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words make one shingle, none an empty set."""
     return np.unique(grams(h, min(k, len(h)))) if len(h) else h
+
+
+def with_columns(batch: pa.RecordBatch, names: list[str], **more: pa.Array) -> pa.RecordBatch:
+    """The named columns of a batch as they are, and further ones."""
+    return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(more.values()), names=[*names, *more])

@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import chat, classifier, line_dedup, quality_rules, secrets, url_filters
+from . import chat, classifier, decontamination, line_dedup, quality_rules, secrets, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op3_decontamination": decontamination.query,
     "op4_quality_rules": quality_rules.query,
     "op5_url_filters": url_filters.query,
     "op6_secret_scan": secrets.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_decontamination": decontamination.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op8_chat_formatting": chat.SQL,
 }
