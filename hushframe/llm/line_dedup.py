@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table, text_of
+from .common import BLANKS, ascii_lower, cut, table, text_of
 
 
 def lines_of(text: Column) -> Column:
@@ -36,6 +36,7 @@ def keep_bitmaps(docs: DataFrame, text: str = "text", least_chars: int = 20, lea
     held = lines.select("h1", "h2", "doc_id").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
     first = held.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     common = first.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs).select("h1", "h2", "last")
+    common = cut(common)  # read back, the join deals both its sides anew, so Spark can split a key that most documents hold
     lost = lines.join(common, ["h1", "h2"]).where(F.col("doc_id") < F.col("last")).select("doc_id", "text_hash", "pos")
     found = lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     at = F.col("at")
