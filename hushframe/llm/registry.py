@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import chat, classifier, decontamination, line_dedup, quality_rules, secrets, url_filters
+from . import chat, classifier, decontamination, line_dedup, mixing, quality_rules, secrets, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_secret_scan": secrets.query,
     "op7_quality_classifier": classifier.query,
     "op8_chat_formatting": chat.query,
+    "op10_mixing": mixing.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
