@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import chat, classifier, decontamination, line_dedup, mixing, quality_rules, secrets, url_filters
+from . import chat, classifier, decontamination, line_dedup, mixing, ngram_join, quality_rules, secrets, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_decontamination": decontamination.query,
     "op4_quality_rules": quality_rules.query,
     "op5_url_filters": url_filters.query,
