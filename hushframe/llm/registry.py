@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL twins."""
 
-from . import chat, classifier, decontamination, line_dedup, mixing, ngram_join, quality_rules, secrets, url_filters
+from . import chat, classifier, decontamination, line_dedup, mixing, ngram_join, quality_rules, secrets, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secret_scan": secrets.query,
     "op7_quality_classifier": classifier.query,
     "op8_chat_formatting": chat.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op3_decontamination": decontamination.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op8_chat_formatting": chat.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
 }
