@@ -133,6 +133,19 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BI
     return docs.select(*others, text).mapInArrow(run, docs.select(*others).schema.add("score", "double"))
 
 
+def keep_good(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, all columns as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        f, w = Features(bits), held.value
+        for b in batches:
+            good = [1 / (1 + np.exp(-float(np.dot(w[i], x)))) >= threshold for i, x in map(f.of, b.column(text).to_pylist())]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3, **training) -> DataFrame:
     """docs' other columns with `score` and `predicted` (1 where the score reaches the threshold)."""
     d = score(docs, train(docs, labels, text, **training), text)
