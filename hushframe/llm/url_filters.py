@@ -59,9 +59,10 @@ def mine(transactions: DataFrame, least_support: float = 0.002, least_count: int
     transactions: an array column `items`. A rule needs both the share of rows and `least_count` rows. A rule whose subset already reaches the confidence is pruned as redundant.
     The `most_rules` of highest confidence stay, which bounds the index. No rows give no rules.
     """
-    support = min(1.0, max(least_support, least_count / max(1, transactions.count())))
+    n = max(1, transactions.count())
+    support = min(1.0, max(least_support, least_count / n))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(transactions)
-    r = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= most_tokens))
+    r = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= most_tokens) & (F.col("support") * n >= least_count - 0.5))
     r = r.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "antecedent").limit(most_rules)
     r = cut(r.select(F.md5(F.array_join("antecedent", "\n")).alias("rule_id"), "antecedent", "confidence", "support"))
     small = r.select(F.explode("antecedent").alias("token"), "rule_id", F.col("antecedent").alias("part"), F.col("confidence").alias("c"))
