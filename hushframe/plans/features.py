@@ -13,8 +13,9 @@ from ..operators.ec import ec_sizes, require
 from ..operators.kanon import estimate_suppression
 from ..operators.risk import importance, reid, risk_pattern
 
-#: Name parts that mark a place, by fineness.
-PLACES = {"fine": ("zip", "postal", "postcode", "address", "city", "town", "municipality"), "coarse": ("region", "state", "province", "country", "nation", "county")}
+#: Name parts that mark a place and a time.
+PLACES = ("region", "city", "state", "country", "zip", "postal", "county", "district", "municipality", "prefecture")
+TIMES = ("date", "time", "year", "month", "quarter", "period", "day")
 
 
 @dataclass
@@ -70,7 +71,7 @@ class Features:
     def geo(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {"fine": [], "coarse": []}
         for q in self.qis:
-            if any(w in q.lower() for ws in PLACES.values() for w in ws):
+            if any(w in q.lower() for w in PLACES):
                 out["fine" if self.cardinality[q] > 50 else "coarse"].append(q)
         return out
 
@@ -88,8 +89,8 @@ def features(df: DataFrame, qis: list[str], sensitive: list[str] | None = None,
     row = df.agg(F.count("*").alias("n"), *[F.count_distinct(q).alias(f"c_{q}") for q in qis]).first()
     n, card = row["n"], {q: row[f"c_{q}"] for q in qis}
     cont = [q for q in qis if number(q) and card[q] > 20]
-    dates = [q for q in qis if kinds[q].startswith(("date", "timestamp"))]
-    cat = [q for q in qis if q not in cont and q not in dates]
+    dates = [q for q in qis if kinds[q].startswith(("date", "timestamp")) or any(w in q.lower() for w in TIMES)]
+    cat = [q for q in qis if q not in cont]
     space = math.prod(max(1, c) for c in card.values())
     r = reid(df, qis).first()
     est = estimate_suppression(df, qis)
@@ -121,5 +122,5 @@ def features(df: DataFrame, qis: list[str], sensitive: list[str] | None = None,
     return Features(
         n, list(qis), cont, cat, card, n / space if space else 0.0, feasibility(n / space if space else 0.0), r["reid_50"], r["reid_95"], r["reid_99"], r["mean_risk"],
         risk_pattern(r["reid_50"], r["reid_95"], r["reid_99"], r["mean_risk"]), ec["high"] / n if n else 0.0, ec["k"] / n if n else 0.0, est, out, skew, dates,
-        [q for q in cat if card[q] > 50], most, imp, div, least, **context,
+        [q for q in qis if n and card[q] / n > 0.5], most, imp, div, least, **context,
     )
