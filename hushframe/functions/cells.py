@@ -40,11 +40,11 @@ def global_rank(df: DataFrame, by: str, name: str) -> DataFrame:
     """Adds 1-based ranks of distinct values by range partitions and an offset for each partition."""
     from pyspark.sql import Window as W
 
-    d = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).cache()
-    counts = d.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_p", (F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_o"))
-    inside = d.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(by)))
-    return inside.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
+    d = df.repartitionByRange(by).withColumn("_gr_p", F.spark_partition_id()).cache()
+    counts = d.groupBy("_gr_p").agg(F.count("*").alias("_gr_c"))
+    offsets = counts.select("_gr_p", (F.coalesce(F.sum("_gr_c").over(W.orderBy("_gr_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_gr_o"))
+    inside = d.withColumn("_gr_r", F.row_number().over(W.partitionBy("_gr_p").orderBy(by)))
+    return inside.join(F.broadcast(offsets), "_gr_p").withColumn(name, F.col("_gr_r") + F.col("_gr_o")).drop("_gr_p", "_gr_r", "_gr_o")
 
 
 # --- numbers ---------------------------------------------------------------------------------------------------------

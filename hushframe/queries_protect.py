@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions.hierarchy import category_ladder, date_ladder, interval_ladder
-from .operators import kanon, locsupr, perturb
+from .operators import kanon, locsupr, perturb, swap
 from .operators.risk import k_check
 from .queries_risk import orders, r6
 
@@ -115,3 +115,19 @@ def _(read):
 @query("pro7_locsupr_with_month")
 def _(read):
     return locsupr.suppress_locally(orders(read).select("o_orderkey", "o_orderstatus", "o_orderpriority", "month"), ["o_orderstatus", "o_orderpriority", "month"], 5, most_per_record=1).df
+
+
+@query("swp1_rank_swap")
+def _(read):
+    return swap.rank_swap(read("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], "c_custkey")
+
+
+@query("swp1_rank_swap_distribution", "SELECT round(sum(c_acctbal), 2) AS total, count(DISTINCT c_acctbal) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer")
+def _(read):
+    out = swap.rank_swap(read("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], "c_custkey")
+    return out.agg(F.round(F.sum("c_acctbal"), 2).alias("total"), F.count_distinct("c_acctbal").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+
+
+@query("swp2_record_swap")
+def _(read):
+    return swap.record_swap(read("part").select("p_partkey", "p_brand", "p_type"), ["p_brand"], ["p_type"], "p_partkey", 12)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import cells, hierarchy
-from hushframe.operators import detect, generalize, kanon, locsupr, perturb, utility
+from hushframe.operators import detect, generalize, kanon, locsupr, perturb, swap, utility
 from hushframe.operators.ec import with_row_id
 from hushframe.operators.risk import k_check
 from hushframe.plans import engine, preprocess, rules
@@ -175,3 +175,14 @@ def test_stream_recoding(spark, tmp_path):
     q = recode.protect_batches(raw, lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_swapping_keeps_distributions(spark):
+    d = spark.range(1000).select("id", (F.col("id") * 7 % 501).alias("x"), (F.col("id") % 40).cast("string").alias("g"), (F.col("id") % 3).cast("string").alias("m"))
+    out = swap.rank_swap(d, ["x"], "id", 0.05)
+    assert out.groupBy("x").count().exceptAll(d.groupBy("x").count()).count() == 0
+    j = utility.paired(d, out, "id", ["x"])
+    assert j.agg(F.max(F.abs(F.col("o_x") - F.col("p_x")))).first()[0] <= 40 and j.where("o_x <> p_x").count() > 500
+    out = swap.record_swap(d, ["g"], ["m"], "id", 100)
+    assert out.groupBy("g", "m").count().exceptAll(d.groupBy("g", "m").count()).count() == 0
+    assert swap.pareto([("a", 0.1, 0.9), ("b", 0.2, 0.8), ("c", 0.05, 0.5)]) == [("c", 0.05, 0.5), ("a", 0.1, 0.9)]
