@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import detect
-from .plans import engine, preprocess, rules
+from .plans import advice, engine, preprocess, rules
 from .plans.features import features
 from .queries_risk import r6
 from .sources import io
@@ -144,3 +144,36 @@ def _(read):
 @query("pre5_adaptive")
 def _(read):
     return preprocess.adaptive(read("part"), ["p_brand", "p_size"], 0.05)[0]
+
+
+@query("sel6_kanon_advice", """SELECT CASE WHEN below < 0.05 OR least >= 3 THEN 5 WHEN below > 0.5 THEN greatest(3, least) ELSE 3 END::BIGINT AS k, CASE WHEN below < 0.1 THEN 'suppression' WHEN below < 0.4 THEN 'hybrid' ELSE 'generalization' END AS strategy, round(below, 6) AS classes_below, round(lost, 6) AS suppression FROM
+(SELECT avg((n < 5)::INT) AS below, min(n) AS least, coalesce(sum(n) FILTER (n < 5), 0) / sum(n) AS lost FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type))""")
+def _(read):
+    d = read("part")
+    a = advice.kanon_advice(d, ["p_brand", "p_type"], 5)
+    return d.sparkSession.createDataFrame([(a.parameters["k"], a.parameters["strategy"], round(a.figures["classes_below"], 6), round(a.figures["suppression"], 6))], "k long, strategy string, classes_below double, suppression double")
+
+
+@query("cls2_greek_identifiers")
+def _(read):
+    d = read("customer").withColumn("tax", F.lpad(F.col("c_custkey").cast("string"), 9, "0")).withColumn("amka", F.lit("x"))
+    return d.sparkSession.createDataFrame(sorted(advice.greek_identifiers(d).items()), "column string, kind string")
+
+
+@query("pre6_warnings")
+def _(read):
+    d = read("part")
+    return d.sparkSession.createDataFrame([(w,) for w in advice.warnings(d, ["p_brand", "p_size", "p_name"])], "warning string")
+
+
+@query("cls4_labels")
+def _(read):
+    d = read("part")
+    kinds = dict(d.dtypes)
+    return d.sparkSession.createDataFrame([(c, advice.semantic_label(p, kinds[c])) for c, p in detect.profile(d).items()], "column string, label string")
+
+
+@query("sel11_step_down")
+def _(read):
+    d = read("part")
+    return d.sparkSession.createDataFrame([(advice.step_down(d, ["p_brand", "p_type"], 10, 0.10),)], "k long")

@@ -5,7 +5,7 @@ from hushframe.functions import cells, hierarchy
 from hushframe.operators import detect, generalize, kanon, locsupr, perturb, swap, utility
 from hushframe.operators.ec import with_row_id
 from hushframe.operators.risk import k_check
-from hushframe.plans import engine, preprocess, rules
+from hushframe.plans import advice, engine, preprocess, rules
 from hushframe.plans.features import features
 from hushframe.sources import io
 from tests import fixtures_tables as fx
@@ -186,3 +186,18 @@ def test_swapping_keeps_distributions(spark):
     out = swap.record_swap(d, ["g"], ["m"], "id", 100)
     assert out.groupBy("g", "m").count().exceptAll(d.groupBy("g", "m").count()).count() == 0
     assert swap.pareto([("a", 0.1, 0.9), ("b", 0.2, 0.8), ("c", 0.05, 0.5)]) == [("c", 0.05, 0.5), ("a", 0.1, 0.9)]
+
+
+def test_advice(spark):
+    assert advice.merge_advice({"k": 5, "strategy": "hybrid"}, {"k": 3, "strategy": "beam", "evil": 1}) == {"k": 5, "strategy": "beam"}
+    assert advice.merge_advice({"k": 5}, {"k": 99}) == {"k": 50}
+    assert advice.context("public_release")["tier"] == "PUBLIC"
+    with pytest.raises(ValueError):
+        advice.context("nowhere")
+    rows, schema, qis = fx.low3()
+    d = spark.createDataFrame(rows, schema)
+    assert advice.kanon_advice(d, qis, 5).parameters["strategy"] == "suppression"
+    assert advice.pram_advice(d, ["region"]).parameters["variables"] == ["region"]
+    assert advice.noise_advice(d, ["age"]).parameters["kind"] == "gaussian"
+    assert any("rows are few" in w for w in advice.warnings(d.limit(50), qis))
+    assert advice.recommendations(features(d, qis)) == []
