@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WordHashes, grams, split_words, table, with_columns
 
@@ -57,9 +56,9 @@ class Features:
 
 
 def featurise(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataFrame:
-    """The other columns of docs with `slots` and `weights`; whole texts, a few rows at a time."""
+    """The other columns of docs with `slots` (int32) and `weights` (float32) as packed bytes; whole texts, a few rows at a time."""
     others = [c for c in docs.columns if c != text]
-    schema = docs.select(*others).schema.add("slots", T.ArrayType(T.IntegerType())).add("weights", T.ArrayType(T.FloatType()))
+    schema = docs.select(*others).schema.add("slots", "binary").add("weights", "binary")
 
     def run(batches):
         f = Features(bits)
@@ -67,7 +66,7 @@ def featurise(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataFram
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 made = [f.of(t) for t in part.column(text).to_pylist()]
-                yield with_columns(part, others, slots=pa.array([m[0] for m in made], pa.list_(pa.int32())), weights=pa.array([m[1] for m in made], pa.list_(pa.float32())))
+                yield with_columns(part, others, slots=pa.array([m[0].tobytes() for m in made], pa.binary()), weights=pa.array([m[1].tobytes() for m in made], pa.binary()))
 
     return docs.select(*others, text).mapInArrow(run, schema)
 
@@ -113,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", most_rows: int
     d = docs.select("doc_id", text).join(drawn, "doc_id")
     rows = featurise(d.select("doc_id", "y", text), text, bits).collect()
     rows.sort(key=lambda r: (r["doc_id"], len(r["slots"])))
-    return ftrl([(np.array(r["slots"], np.int64), np.array(r["weights"]), r["y"]) for r in rows], bits)
+    return ftrl([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows], bits)
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BITS) -> DataFrame:
