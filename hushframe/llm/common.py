@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Inside, Spark removes a query's shuffle files as the query ends, rather than when the driver collects garbage.
+
+    For steps that end in cut(); frames meant to be run later, and more than once, are made outside.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `most` words."""
 

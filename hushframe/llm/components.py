@@ -24,7 +24,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component): the least node reachable, for each node that has an edge (a, b) to another.
+    """(node, component): the least node reachable, for each node from which edges (a, b) reach a lesser one.
 
     Both steps keep connectivity and shrink towards stars; they end when nothing changes. A node with very many edges is
     aggregated before it shuffles and joined in splits. Rows with a null or a loop are no edges.

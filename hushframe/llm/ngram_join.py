@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, shingle_set, split_words, table
+from .common import cut, grams, shingle_set, table, tidy
 from .components import components
+from .hashing import slices, word_hashes
 
 #: Fragments of the order in which overlaps are counted apart.
 FRAGMENTS = 4
@@ -17,7 +18,9 @@ CHUNK, TELL = 2_000_000, 4
 #: Most shingles that the order puts last as frequent; any choice gives the same links.
 MOST_FREQUENT = 1 << 18
 #: Longest posting list whose pairs are all formed at once.
-SHORT = 48
+SHORT = 24
+#: Longest list whose pairs are joined in the exact step; sets and shingles of a block in which those of larger ones meet.
+BIG, BLOCK_SETS, BLOCK_SHINGLES = 128, 512, 500_000
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -25,9 +28,13 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int):
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        yield doc, shingle_set(hashes.of(split_words(text)), k)
+def _sets(batch: pa.RecordBatch, k: int):
+    """(doc_id, sorted shingle hashes) of each row."""
+    for part in slices(batch):
+        h, bounds = word_hashes(part.column("text"))
+        all_grams = grams(h, k)
+        for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield doc, np.unique(all_grams[a : b - k + 1]) if b - a >= k else shingle_set(h[a:b], k)
 
 
 def _finger(s: np.ndarray) -> tuple[int, int]:
@@ -47,7 +54,7 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def told():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -58,7 +65,7 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
         names = ["doc_id", "n", "sid", "check", "h", "df"]
         for b in batches:
             rows = []
-            for doc, s in _sets(b, hashes, k):
+            for doc, s in _sets(b, k):
                 sid, check = _finger(s)
                 rows.append((doc, len(s), sid, check))
                 held.append(s)
@@ -82,11 +89,11 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> Da
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hashes, often, seen = WordHashes(), held.value, {}
+        often, seen = held.value, {}
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 hs, sids, ns, hots = [], [], [], []
-                for _, s in _sets(b.slice(at, 1000), hashes, k):
+                for _, s in _sets(b.slice(at, 1000), k):
                     if not len(s):
                         continue
                     sid = _finger(s)[0]
@@ -112,85 +119,118 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> Da
 def _list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Streams posting lists in order of (h, n, sid): all pairs (a, b) of near sizes of short lists, the rows of long ones.
 
-    Memory holds one short list. Rows have h null for pairs, and b null for rows of long lists.
+    Memory holds one short list. Pairs have h null and the sizes n and m of a and b; rows of long lists have b and m null.
     """
-    names = ["h", "a", "b", "n"]
+    names = ["h", "a", "b", "n", "m"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
-    def run(batches):
-        now, rows, last, long = None, [], None, False
-        for batch in batches:
-            out = {n: [] for n in names}
+    def pairs(rows):
+        for j in range(1, len(rows)):
+            for i in range(j - 1, -1, -1):
+                if 100 * rows[i][1] < percent * rows[j][1]:
+                    break
+                (a, n), (b, m) = sorted((rows[i], rows[j]))
+                yield None, a, b, n, m
 
-            def emit(h, a, b, n):
-                for c, v in zip(names, (h, a, b, n)):
-                    out[c].append(v)
-
-            def close():
-                if not long:
-                    for j in range(1, len(rows)):
-                        for i in range(j - 1, -1, -1):
-                            if 100 * rows[i][1] < percent * rows[j][1]:
-                                break
-                            emit(None, min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0]), None)
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names=names)
 
+    def run(batches):
+        now, rows, last, long, out = None, [], None, False, []
+        for batch in batches:
             for h, sid, n in zip(*[batch.column(c).to_pylist() for c in ("h", "sid", "n")]):
                 if h != now:
-                    close()
+                    if not long:
+                        out.extend(pairs(rows))
                     now, rows, last, long = h, [], None, False
                 if sid == last:
                     continue
                 last = sid
                 if long:
-                    emit(h, sid, None, n)
+                    out.append((h, sid, None, n, None))
                 else:
                     rows.append((sid, n))
                     if len(rows) > SHORT:
-                        for s, m in rows:
-                            emit(h, s, None, m)
+                        out.extend((h, s, None, m, None) for s, m in rows)
                         rows, long = [], True
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int32() if c == "n" else pa.int64()) for c in names], names=names)
-        if rows and not long:
-            out = {n: [] for n in names}
-            for j in range(1, len(rows)):
-                for i in range(j - 1, -1, -1):
-                    if 100 * rows[i][1] < percent * rows[j][1]:
-                        break
-                    out["a"].append(min(rows[i][0], rows[j][0]))
-                    out["b"].append(max(rows[i][0], rows[j][0]))
-            k = len(out["a"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.nulls(k, pa.int32())], names=names)
+            yield told(out)
+            out = []
+        if not long:
+            yield told(list(pairs(rows)))
+
+    return postings.repartition("h").sortWithinPartitions("h", "n", "sid").select("h", "sid", "n").mapInArrow(run, "h long, a long, b long, n int, m int")
+
+
+def _ceil(x, y: int):
+    return F.floor((x + (y - 1)) / y)
 
-    return postings.repartition("h").sortWithinPartitions("h", "n", "sid").select("h", "sid", "n").mapInArrow(run, "h long, a long, b long, n int")
+
+def _least_common(percent: int, n=None, m=None):
+    """Common shingles that the prefixes of similar sets of n and m shingles have at least.
+
+    Up to where the first of two prefixes ends, both tell all common shingles; behind it, no more than the rest of that set can
+    be common. So it is the least overlap less the longest rest.
+    """
+    n, m = F.col("n") if n is None else n, F.col("m") if m is None else m
+    return _ceil(percent * (n + m), 100 + percent) - _ceil(percent * F.greatest(n, m), 100) + 1
+
+
+def _with_longs(pairs: DataFrame, longs: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m, c) with c grown by the shingles that both sets have in long lists, `longs` (sid, hs)."""
+    side = lambda x: longs.select(F.col("sid").alias(x), F.col("hs").alias(f"h{x}"))
+    d = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return d.withColumn("c", F.col("c") + F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0)))
 
 
 def _segments(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(sid, n, part, hashes): the sets of the needed (doc_id, sid), cut into fragments of the order of hashes."""
+    """(sid, n, head, tail): the sets of the needed (doc_id, sid), cut into fragments of the order of hashes, the first one apart.
+
+    Partitioned by sid once and written, so that later joins move pairs only. A repeated doc_id may repeat a row.
+    """
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 rows = []
-                for _, s in _sets(b.slice(at, 500), hashes, k):
-                    sid = _finger(s)[0]
-                    part = (s >> np.uint64(62)).astype(int)
-                    rows += [(sid, len(s), p, s[part == p].view(np.int64)) for p in range(FRAGMENTS)]
+                for _, s in _sets(b.slice(at, 500), k):
+                    cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
+                    first, *rest = np.split(s.view(np.int64), cuts)
+                    rows.append((_finger(s)[0], len(s), first, rest))
                 cols = list(zip(*rows)) or [()] * 4
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["sid", "n", "part", "hashes"])
+                types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["sid", "n", "head", "tail"])
 
+    spark = docs.sparkSession
     chosen = docs.join(needed.select(F.col("doc_id").alias("_n_doc"), F.col("sid").alias("_n_sid")), F.col("doc_id") == F.col("_n_doc"))
-    return chosen.select("doc_id", "text").mapInArrow(run, "sid long, n int, part int, hashes array<long>")
+    made = chosen.select("doc_id", "text").mapInArrow(run, "sid long, n int, head array<long>, tail array<array<long>>")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan would not tell that its rows lie by sid
+    try:
+        return cut(made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _meet(pairs: DataFrame, segments: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the sizes na and nb and a fragment column of both, xa and xb."""
+    side = lambda s: segments.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col(column).alias(f"x{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) of the pairs whose summed partial overlaps reach the similarity."""
-    left = segments.select(F.col("sid").alias("a"), F.col("n").alias("na"), "part", F.col("hashes").alias("ha"))
-    right = segments.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "part", F.col("hashes").alias("hb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "part"])
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
-    total = counted.groupBy("a", "b").agg(F.sum("c").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b", "shared")
+    """(a, b, shared) of the pairs whose summed partial overlaps reach the similarity.
+
+    The first fragment goes first; pairs that could not reach it even if all the rest were common end there.
+    """
+    head = _meet(pairs.select("a", "b"), segments, "head")
+    c = F.size(F.array_intersect("xa", "xb"))
+    reach = c + F.least(F.col("na") - F.size("xa"), F.col("nb") - F.size("xb"))
+    enough = lambda shared: (100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))
+    head = head.select("a", "b", c.alias("c"), (enough(reach)).alias("open"))
+    open_ = cut(head.where("open").groupBy("a", "b").agg(F.max("c").alias("c")))
+    partial = F.zip_with("xa", "xb", lambda x, y: F.size(F.array_intersect(x, y)))
+    tail = _meet(open_, segments, "tail").withColumn("shared", F.aggregate(partial, F.col("c"), lambda total, x: total + x))
+    return tail.where(enough(F.col("shared"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
 
 
 def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -198,41 +238,188 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
 
     Links are Jaccard similarities of at least `percent` between sets of k-word shingles (A-Z lower-cased; fewer words make
     one shingle; no words, no links). Equal sets are one. The order of shingles is by hash with frequent ones last; a set's
-    prefix in it must meet the prefix of every similar set. Short posting lists give all their pairs of near sizes. In long
-    lists every set is first tried against the least set of its size band and of the next smaller one; then, exactly for
-    what those tries left apart, sets of different components. Overlaps of candidates are counted for each fragment of the
-    order and summed. So a list of thousands of near copies costs as many pairs as it has members, and no link between
-    components is missed.
+    prefix in it must meet the prefix of every similar set. Short posting lists give all their pairs of near sizes; pairs with
+    too few common shingles in their prefixes end there. Of longer lists, pairs that components still separate count their common
+    shingles; sets of very long ones meet in blocks, where pairs make no rows. Overlaps of candidates are counted for each
+    fragment of the order and summed. Links inside a component are not looked for; none between components is missed.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, frequent = signatures(d, k)
     top = frequent.orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
     top = np.sort(top.view(np.uint64))
     postings = _postings(d, top, percent, k)
-    lists = cut(_list_pairs(postings.where("NOT hot"), percent).unionByName(postings.where("hot").groupBy("h", "sid").agg(F.first("n").alias("n")).select("h", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "n")).distinct())
-    near = lists.where("b IS NOT NULL").select("a", "b").distinct()
-    long = lists.where("b IS NULL").select("h", F.col("a").alias("sid"), "n").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
-    heads = long.groupBy("h", "band").agg(F.min(F.struct("n", "sid"))["sid"].alias("head"))
-    tried = long.select("h", "sid", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(cut(heads), ["h", "band"]).where("sid <> head")
-    pairs = cut(near.unionByName(tried.select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b"))).distinct())
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct()
-    needed = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(touched, "sid", "left_semi")
-    segments = _segments(d, needed, k).dropDuplicates(["sid", "part"])
-    segments = cut(segments)
-    links = cut(_verify(pairs, segments, percent))
-    first = components(links)
-    # long lists that still hold several components: their sets across components
-    named = long.join(first, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", F.coalesce("component", "sid").alias("component"))
-    named = cut(named)
-    mixed = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    apart = named.join(cut(mixed), "h")
+    hot = postings.where("hot").groupBy("h", "sid").agg(F.first("n").alias("n"))
+    none = lambda t: F.lit(None).cast(t)
+    lists = cut(_list_pairs(postings.where("NOT hot"), percent).unionByName(hot.select("h", F.col("sid").alias("a"), none("long").alias("b"), "n", none("int").alias("m"))))
+    enough = F.col("c") >= _least_common(percent)
+    long = lists.where("b IS NULL").select("h", F.col("a").alias("sid"), "n")
+    longs = cut(long.groupBy("sid").agg(F.collect_set("h").alias("hs")))
+    near = lists.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    near = cut(_with_longs(near, longs).where(enough).select("a", "b"))
+    sizes = cut(long.groupBy("h").agg(F.count("*").alias("size")))
+    big = cut(long.join(sizes.where(F.col("size") > BIG), "h").groupBy("sid").agg(F.first("n").alias("n")))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    owners = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi"), k)
+    labels = cut(ends(near).unionByName(long.select("sid")).distinct().select(F.col("sid").alias("node"), F.col("sid").alias("component")))
+    named = lambda df: df.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
+
+    def join(links: DataFrame) -> DataFrame:
+        """Labels with one component where links (a, b) join several."""
+        new = components(cut(links))
+        to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        return cut(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+    segments = of(ends(near).unionByName(big.select("sid")))
+    labels = join(_verify(near, segments, percent).select("a", "b"))
+    # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG meet in blocks, in the
+    # others each pair that components still separate counts what it has in common
+    labels = join(_block_links(cut(named(big)), segments, percent))
+    apart = named(long.join(sizes.where(F.col("size") <= BIG), "h")).join(longs.select("sid", F.size("hs").alias("longs")), "sid")
+    mixed = cut(apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h"))
+    apart = cut(apart.join(mixed, "h"))
     x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, "h").where((F.col("x.component") != F.col("y.component")) & (F.col("x.sid") < F.col("y.sid")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
-    cross = cut(cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    n, m = F.col("x.n"), F.col("y.n")
+    fits = (100 * n >= percent * m) & (100 * m >= percent * n) & (F.least("x.longs", "y.longs") >= _least_common(percent, n, m))
+    cross = x.join(y, "h").where((F.col("x.component") != F.col("y.component")) & (F.col("x.sid") < F.col("y.sid")) & fits)
+    cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+    cross = cut(cross.where(enough).select("a", "b"))
     if not cross.isEmpty():
-        more = _verify(cross, segments, percent)
-        first = components(links.unionByName(more))
-    return rows, first.select(F.col("node").alias("sid"), "component")
+        links = _verify(cross, of(ends(cross)), percent)
+        tag = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        labels = join(links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return rows, labels.select(F.col("node").alias("sid"), "component")
+
+
+def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do; every pair is compared.
+
+    Sets go to size bands and inside them to hashed blocks of bounded shingles; a task holds two blocks of one band or of
+    neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the pairs.
+    """
+    banded = sets.withColumn("g", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
+    bands = {r["g"]: max(1, -(-r["k"] // BLOCK_SETS), -(-r["s"] // BLOCK_SHINGLES)) for r in banded.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()}
+    if not bands:
+        return sets.select(F.col("component").alias("a"), F.col("component").alias("b"))
+    width = F.create_map(*[F.lit(v) for g, k in bands.items() for v in (g, k)])
+    j, g = F.col("j"), F.col("g")
+    span = lambda band: F.when(width[band].isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), width[band] - 1))
+    key = lambda *x: F.concat_ws(":", *[v.cast("string") for v in x])
+    to = lambda k, side: F.struct(k.alias("key"), side.alias("side"))
+    own = F.transform(span(g), lambda o: to(key(F.lit("s"), g, F.least(j, o), F.greatest(j, o)), F.when(o == j, F.lit(2)).when(j < o, F.lit(0)).otherwise(F.lit(1))))
+    below = F.transform(span(g - 1), lambda o: to(key(F.lit("n"), g, j, o), F.lit(0)))
+    above = F.transform(span(g + 1), lambda o: to(key(F.lit("n"), g + 1, o, j), F.lit(1)))
+    whole = segments.select("sid", F.concat("head", F.flatten("tail")).alias("hashes"))
+    placed = banded.withColumn("j", F.pmod(F.xxhash64("sid"), width[g]).cast("int")).join(whole, "sid")
+    placed = placed.select("sid", "n", "component", "hashes", F.explode(F.concat(own, below, above)).alias("to")).select("sid", "n", "component", "hashes", "to.key", "to.side")
+
+    def run(key, table):
+        del key
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("sid", "n", "component", "side")]))
+        hashes = table.column("hashes").combine_chunks()
+        at, values = np.asarray(hashes.offsets), np.asarray(hashes.values)
+        sides = [[i for i, r in enumerate(rows) if r[3] in (s, 2)] for s in (0, 1)]
+        flat = []
+        for side in sides:
+            v = np.concatenate([values[at[i] : at[i + 1]] for i in side]) if side else np.empty(0, np.int64)
+            r = np.repeat(np.arange(len(side)), [at[i + 1] - at[i] for i in side])
+            order = np.argsort(v, kind="stable")
+            flat.append((v[order], r[order]))
+        (va, ra), (vb, rb) = flat
+        both = np.intersect1d(va, vb)
+        counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
+        bounds = [np.searchsorted(x, both, side=s) for x in (va, vb) for s in ("left", "right")]
+        for a0, a1, b0, b1 in zip(*[x.tolist() for x in bounds]):
+            counts[np.ix_(ra[a0:a1], rb[b0:b1])] += 1
+        n = [np.array([rows[i][1] for i in side], np.int64) for side in sides]
+        c = [np.array([rows[i][2] for i in side], np.int64) for side in sides]
+        names, where = np.unique(np.concatenate(c), return_inverse=True)
+        wa, wb = where[: len(c[0])], where[len(c[0]) :]
+        label = np.arange(len(names))
+        if counts.size:
+            linked = (100 + percent) * counts.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :])
+            while True:  # the least label of all that links reach
+                la, lb, new = label[wa], label[wb], label.copy()
+                np.minimum.at(new, wb, np.where(linked, la[:, None], len(names)).min(axis=0))
+                np.minimum.at(new, wa, np.where(linked, lb[None, :], len(names)).min(axis=1))
+                if (new == label).all():
+                    break
+                label = new
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[label[moved]]})
+
+    return placed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+
+
+def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do; every pair is compared.
+
+    Sets go to size bands and inside them to hashed blocks of bounded shingles; a task holds two blocks of one band or of
+    neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the pairs.
+    """
+    banded = sets.withColumn("g", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
+    bands = {r["g"]: max(1, -(-r["k"] // BLOCK_SETS), -(-r["s"] // BLOCK_SHINGLES)) for r in banded.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()}
+    if not bands:
+        return sets.select(F.col("component").alias("a"), F.col("component").alias("b"))
+    width = F.create_map(*[F.lit(v) for g, k in bands.items() for v in (g, k)])
+    j, g = F.col("j"), F.col("g")
+    span = lambda band: F.when(width[band].isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), width[band] - 1))
+    key = lambda *x: F.concat_ws(":", *[v.cast("string") for v in x])
+    to = lambda k, side: F.struct(k.alias("key"), side.alias("side"))
+    own = F.transform(span(g), lambda o: to(key(F.lit("s"), g, F.least(j, o), F.greatest(j, o)), F.when(o == j, F.lit(2)).when(j < o, F.lit(0)).otherwise(F.lit(1))))
+    below = F.transform(span(g - 1), lambda o: to(key(F.lit("n"), g, j, o), F.lit(0)))
+    above = F.transform(span(g + 1), lambda o: to(key(F.lit("n"), g + 1, o, j), F.lit(1)))
+    whole = segments.select("sid", F.concat("head", F.flatten("tail")).alias("hashes"))
+    placed = banded.withColumn("j", F.pmod(F.xxhash64("sid"), width[g]).cast("int")).join(whole, "sid")
+    placed = placed.select("sid", "n", "component", "hashes", F.explode(F.concat(own, below, above)).alias("to")).select("sid", "n", "component", "hashes", "to.key", "to.side")
+
+    def run(key, table):
+        del key
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("sid", "n", "component", "side")]))
+        hashes = table.column("hashes").combine_chunks()
+        at, values = np.asarray(hashes.offsets), np.asarray(hashes.values)
+        sides = [[i for i, r in enumerate(rows) if r[3] in (s, 2)] for s in (0, 1)]
+        flat = []
+        for side in sides:
+            v = np.concatenate([values[at[i] : at[i + 1]] for i in side]) if side else np.empty(0, np.int64)
+            r = np.repeat(np.arange(len(side)), [at[i + 1] - at[i] for i in side])
+            order = np.argsort(v, kind="stable")
+            flat.append((v[order], r[order]))
+        (va, ra), (vb, rb) = flat
+        both = np.intersect1d(va, vb)
+        counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
+        bounds = [np.searchsorted(x, both, side=s) for x in (va, vb) for s in ("left", "right")]
+        for a0, a1, b0, b1 in zip(*[x.tolist() for x in bounds]):
+            counts[np.ix_(ra[a0:a1], rb[b0:b1])] += 1
+        n = [np.array([rows[i][1] for i in side], np.int64) for side in sides]
+        c = [np.array([rows[i][2] for i in side], np.int64) for side in sides]
+        names, where = np.unique(np.concatenate(c), return_inverse=True)
+        wa, wb = where[: len(c[0])], where[len(c[0]) :]
+        label = np.arange(len(names))
+        if counts.size:
+            linked = (100 + percent) * counts.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :])
+            while True:  # the least label of all that links reach
+                la, lb, new = label[wa], label[wb], label.copy()
+                np.minimum.at(new, wb, np.where(linked, la[:, None], len(names)).min(axis=0))
+                np.minimum.at(new, wa, np.where(linked, lb[None, :], len(names)).min(axis=1))
+                if (new == label).all():
+                    break
+                label = new
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[label[moved]]})
+
+    return placed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+
+
+def _long_counts(lists: DataFrame) -> DataFrame:
+    return lists.where("b IS NULL").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("longs"))
+
+
+def _apart(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of long lists that hold more than one component, with their components."""
+    named = long.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
+    mixed = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    return named.join(cut(mixed), "h")
 
 
 def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -240,13 +427,25 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
 
     Rows without words are linked with nothing; a null doc_id reaches the least id of its class; repeated ids repeat rows.
     """
-    rows, linked = similar_sets(docs, percent, k)
-    d = rows.join(linked, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid").alias("_c"))
-    d = cut(d)
-    least = cut(d.where("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("_least")).select(F.col("_c").alias("_k"), "_least"))
+    with tidy(docs.sparkSession):
+        rows, linked = similar_sets(docs, percent, k)
+        d = rows.join(linked, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid").alias("_c"))
+        d = cut(d)
+        least = cut(d.where("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("_least")).select(F.col("_c").alias("_k"), "_least"))
     d = d.join(least, (F.col("_c") == F.col("_k")) & (F.col("n_shingles") > 0), "left")
     return d.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') || least(len(ws), 5)) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""

@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_ngram_join": ngram_join.SQL,
     "op3_decontamination": decontamination.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op8_chat_formatting": chat.SQL,

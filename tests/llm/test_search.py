@@ -61,9 +61,12 @@ def brute_classes(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("short", [48, 4])
-def test_ngram_join(spark, monkeypatch, short):
+@pytest.mark.parametrize("short,big,block", [(48, 128, 512), (4, 10_000, 512), (4, 8, 16)])
+def test_ngram_join(spark, monkeypatch, short, big, block):
+    """Whole short lists, the join of long ones, and blocks of very long ones."""
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     rows = corpus()
     d = spark.createDataFrame(rows, DOCS).withColumn("n", F.lit("clash")).withColumn("sid", F.lit(0)).repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(d).collect()}
