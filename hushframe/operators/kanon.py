@@ -206,11 +206,12 @@ def recode_locally(out: DataFrame, original: DataFrame, ladders: list[Ladder], v
 
 
 def _checkpoints(df: DataFrame) -> None:
+    """Checkpoints go to the shared folder of spark.checkpoint.dir, or to a temporary one where none is set."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def report(original: DataFrame, result: Anonymized) -> dict[str, float]:
