@@ -37,10 +37,10 @@ def words_of(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, where it outlives lost executors."""
+    """Computes df once into the shared folder of spark.checkpoint.dir (a temporary one where none is set), where it outlives lost executors."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
