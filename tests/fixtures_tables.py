@@ -7,10 +7,10 @@ def choose(r, values, n, weights=None):
     return r.choices(values, weights, k=n)
 
 
-FRANCDAT = [
+EIGHT_ROWS = [
     (0.3, 1.0, 2.0, 5.0, 1.0), (0.12, 1.0, 2.0, 1.0, 1.0), (0.18, 1.0, 2.0, 1.0, 1.0), (1.9, 3.0, 3.0, 1.0, 5.0), (1.0, 4.0, 3.0, 1.0, 4.0), (1.0, 4.0, 3.0, 1.0, 1.0), (0.1, 6.0, 2.0, 1.0, 5.0), (0.15, 1.0, 2.0, 5.0, 1.0),
 ]
-FRANC_SCHEMA = "num double, key1 double, key2 double, key3 double, key4 double"
+EIGHT_SCHEMA = "num double, key1 double, key2 double, key3 double, key4 double"
 
 
 def low1(seed=1):

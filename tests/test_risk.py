@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators import ec, privacy, risk
-from tests.fixtures_tables import FRANC_SCHEMA, FRANCDAT
+from tests.fixtures_tables import EIGHT_SCHEMA, EIGHT_ROWS
 
 KEYS = ["key1", "key2", "key3", "key4"]
 
 
-def test_francdat_by_hand(spark):
-    d = spark.createDataFrame(FRANCDAT, FRANC_SCHEMA)
+def test_eight_rows_by_hand(spark):
+    d = spark.createDataFrame(EIGHT_ROWS, EIGHT_SCHEMA)
     r = risk.reid(d, KEYS).first()
     assert r["reid_95"] == 1.0 and r["evaluated"] == 8 and r["suppressed"] == 0
     assert sorted(x["risk"] for x in risk.record_risk(d, KEYS).collect()) == [0.5] * 4 + [1.0] * 4
