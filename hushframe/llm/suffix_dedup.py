@@ -151,6 +151,8 @@ def _neighbours(suffixes: DataFrame, least: int, edges: bool) -> DataFrame:
 
         def close(last=False):
             nonlocal groups
+            if not rows:
+                return
             if len(rows) > 1:
                 spans.extend(_matched(rows, least))
             if edges and rows and (groups == 0 or last):

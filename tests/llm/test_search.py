@@ -158,6 +158,22 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_dedup_over_partition_boundaries(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    shared = [text(60) for _ in range(60)]
+    rows = [(2 * k + side, text(10) + " " + p + " " + text(10), "s") for k, p in enumerate(shared) for side in (0, 1)]
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x["doc_id"]: x["n_repeat_words"] for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute_repeats(rows, 50)
+
+
 def test_minimisers_are_the_windows_least():
     r = np.random.default_rng(2)
     for n in (0, 5, 42, 43, 44, 300):
