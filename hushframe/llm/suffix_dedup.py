@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, grams, split_words, table
+from .common import WordHashes, cut, grams, mix, split_words, table, tidy
+from .hashing import slices
 
-#: Words of a key; key groups up to SMALL rows are compared pair by pair, larger ones by neighbours, PIECE rows at a time.
-K, SMALL, PIECE = 8, 32, 2048
+#: Words of a key; key groups up to SMALL rows are compared pair by pair, larger ones by their windows.
+K, SMALL = 8, 32
 
 
 def _extreme(h: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -83,7 +84,7 @@ def _suffixes(hits: DataFrame, least: int) -> DataFrame:
                     short = (h >> np.uint64(32)).astype(">u4")
                     turned = short[::-1]
                     n = len(short)
-                    for p in sorted(set(pos)):
+                    for p in sorted(p for p in pos if p >= 0):
                         keys_.append(keys[p])
                         rights.append(short[p : p + least].tobytes())
                         lefts.append(turned[n - p : n - p + back].tobytes())
@@ -96,6 +97,7 @@ def _suffixes(hits: DataFrame, least: int) -> DataFrame:
 
 NAMES = ["key", "right", "doc_id", "pos", "left"]
 SUFFIX = "key long, right binary, doc_id long, pos int, left binary"
+SPAN = "doc_id long, start int, end int"
 
 
 def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -113,18 +115,13 @@ def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def _matched(rows: list[tuple], least: int):
     """(doc_id, start, end) of what rows of one key share with a row of another document, if that is `least` words.
 
-    rows: (right, doc_id, pos, left) in order of right.
+    rows: (right, doc_id, pos, left), SMALL at most; all pairs are compared.
     """
     n = len(rows)
     right, rs = _matrix([r[0] for r in rows], least)
     left, ls = _matrix([r[3] for r in rows], least - K)
     docs = np.array([r[1] for r in rows])
-    if n <= SMALL:
-        i, j = np.triu_indices(n, 1)
-    else:
-        turned = np.argsort(np.array([r[3] for r in rows], object), kind="stable")
-        pairs = [(np.arange(n - d), np.arange(d, n)) for d in (1, 2, 3)] + [(turned[:-d], turned[d:]) for d in (1, 2, 3)]
-        i, j = (np.concatenate(x) for x in zip(*pairs))
+    i, j = np.triu_indices(n, 1)
     apart = docs[i] != docs[j]
     i, j = i[apart], j[apart]
     r, l = _common(right, i, j, rs), _common(left, i, j, ls)  # noqa: E741
@@ -138,33 +135,19 @@ def _matched(rows: list[tuple], least: int):
         yield int(docs[x]), int(rows[x][2] - most_l[x]), int(rows[x][2] + most_r[x])
 
 
-def _neighbours(suffixes: DataFrame, least: int, edges: bool) -> DataFrame:
-    """(doc_id, start, end) from sorted suffixes; with `edges` also the suffixes at both ends of each partition.
-
-    A key group that reaches over the end of a partition is told again by its outermost rows, so that they meet elsewhere.
-    """
-    plain = ["doc_id", "start", "end"]
+def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, end) from suffixes sorted by key; all rows of a key lie in one partition."""
 
     def run(batches):
-        now, rows, groups = None, [], 0
-        spans, kept = [], []
+        now, rows, spans = None, [], []
 
-        def close(last=False):
-            nonlocal groups
-            if not rows:
-                return
+        def close():
             if len(rows) > 1:
                 spans.extend(_matched(rows, least))
-            if edges and rows and (groups == 0 or last):
-                kept.extend((now, *r) for r in (rows if len(rows) <= 2 * SMALL else rows[:SMALL] + rows[-SMALL:]))
-            groups += 1
 
         def out():
-            k, s = len(kept), len(spans)
             cols = list(zip(*spans)) or [()] * 3
-            a = [pa.array([*c, *[None] * k], t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))]
-            b = [pa.array([*[None] * s, *c], t) for c, t in zip(list(zip(*kept)) or [()] * 5, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))]
-            return pa.RecordBatch.from_arrays([*a, *b], names=[*plain, *["e_" + n for n in NAMES]])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "start", "end"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -173,16 +156,51 @@ def _neighbours(suffixes: DataFrame, least: int, edges: bool) -> DataFrame:
                     if key != now:
                         close()
                         now, rows = key, []
-                    elif len(rows) >= PIECE:
-                        close()
-                        rows = rows[-2:]
                     rows.append((right, doc, pos, left))
                 yield out()
-                spans, kept = [], []
-        close(last=True)
+                spans = []
+        close()
         yield out()
 
-    return suffixes.select(*NAMES).mapInArrow(run, "doc_id long, start int, end int, " + ", ".join("e_" + c for c in SUFFIX.split(", ")))
+    return suffixes.select(*NAMES).mapInArrow(run, SPAN)
+
+
+def window_hashes(keys: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of all runs of `least` words from the keys of K words."""
+    n = len(keys) + K - least
+    total = np.zeros(n, np.uint64)
+    for at in [*range(0, least - K, K), least - K]:
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + keys[at : at + n])
+    return total
+
+
+def _windows(texts: DataFrame, least: int) -> DataFrame:
+    """(window, doc_id, start, end) of the runs of `least` words whose least key is one of the large ones of hits.
+
+    Equal windows one word apart, as inside a run of one word, are told as one row.
+    """
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            for part in slices(b):
+                out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]]
+                for doc, text, pos in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "pos")]):
+                    large = np.array([-1 - p for p in pos if p < 0], np.int64)
+                    if not len(large):
+                        continue
+                    keys = grams(hashes.of(split_words(text)), K)
+                    at = np.flatnonzero(np.isin(_extreme(keys, least - K + 1, True), keys[large]))
+                    h = window_hashes(keys, least)[at]
+                    first = np.ones(len(at), bool)
+                    first[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+                    last = np.append(first[1:], True)
+                    for o, x in zip(out, (h[first].view(np.int64), np.full(int(first.sum()), doc), at[first], at[last] + least)):
+                        o.append(x)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, types)], names=["window", "doc_id", "start", "end"])
+
+    return texts.select("doc_id", "text", "pos").mapInArrow(run, "window long, " + SPAN)
 
 
 def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text") -> DataFrame:
@@ -190,24 +208,25 @@ def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text") -> Data
     document has too, as merged [start, end) ranges of words in order.
 
     Words are lower-cased in A-Z; whole texts count. Equal passages hold equal minimisers (of K-word keys over windows of
-    least - K + 1), so suffixes kept at those positions suffice; only keys of two or more documents go on. Suffixes are
-    range-partitioned by key and following words, neighbours are compared, and matches extend both ways as far as any
-    window of `least` words around the position reaches; longer passages join from their positions. Keys of up to SMALL
-    suffixes are compared in full; in larger ones each suffix meets its neighbours by the words after it and by those
-    before it. Null and short texts have no passages; a null doc_id is no document; rows that repeat a doc_id are one
-    document. Extra columns are ignored.
+    least - K + 1), so suffixes kept at those positions suffice; only keys of two or more documents go on. Keys of up to
+    SMALL suffixes are brought together and compared in full: matches extend both ways as far as any window of `least` words
+    around the position reaches; longer passages join from their positions. For larger keys, each window of `least` words
+    whose least key it is goes by its 64-bit hash, and those of two or more documents count; no key is held in one task.
+    Null and short texts have no passages; a null doc_id is no document; rows that repeat a doc_id are one document. Extra
+    columns are ignored.
     """
     d = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     positions = _positions(d, least)
-    shared = cut(positions.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
-    hits = positions.join(shared, "key").groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("pos"))
-    texts = d.join(hits, ["doc_id", "tid"])
-    suffixes = _suffixes(texts, least).repartitionByRange("key", "right", "doc_id", "pos").sortWithinPartitions("key", "right", "doc_id", "pos")
-    found = cut(_neighbours(suffixes, least, True))
-    ends = found.where("e_key IS NOT NULL").select(*[F.col("e_" + n).alias(n) for n in NAMES]).distinct()
-    ends = ends.repartition("key").sortWithinPartitions("key", "right", "doc_id", "pos")
-    spans = found.where("doc_id IS NOT NULL").select("doc_id", "start", "end").unionByName(_neighbours(ends, least, False).where("doc_id IS NOT NULL").select("doc_id", "start", "end"))
+    with tidy(docs.sparkSession):
+        keys = positions.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+        shared = cut(keys.where("lo < hi").select("key", (F.col("n") > SMALL).alias("large")))
+        at = F.when(F.col("large"), -1 - F.col("pos")).otherwise(F.col("pos"))
+        hits = cut(positions.join(shared, "key").groupBy("doc_id", "tid").agg(F.collect_set(at).alias("pos")))
+        windows = _windows(d.join(hits.where(F.array_min("pos") < 0), ["doc_id", "tid"]), least)
+        held = cut(windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window"))
+    suffixes = _suffixes(d.join(hits.where(F.array_max("pos") >= 0), ["doc_id", "tid"]), least).repartition("key").sortWithinPartitions("key", "right", "doc_id", "pos")
+    spans = _neighbours(suffixes, least).unionByName(windows.join(held, "window").select("doc_id", "start", "end"))
     per = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     none = F.array().cast("array<struct<start:int,end:int>>")
 

@@ -174,6 +174,16 @@ def test_suffix_dedup_over_partition_boundaries(spark):
     assert got == brute_repeats(rows, 50)
 
 
+def test_suffix_dedup_of_passages_that_one_document_repeats(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    passages = [text(60) for _ in range(4)]
+    rows = [(i, " ".join(text(50) + " " + p for _ in range(60)), "s") for i, p in enumerate(passages)]
+    rows += [(10 + i, text(50) + " " + p + " " + text(50), "s") for i, p in enumerate(passages)]
+    got = {x["doc_id"]: x["n_repeat_words"] for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
 def test_minimisers_are_the_windows_least():
     r = np.random.default_rng(2)
     for n in (0, 5, 42, 43, 44, 300):
