@@ -29,8 +29,8 @@ def _extreme(h: np.ndarray, w: int, least: bool) -> np.ndarray:
 def minimisers(keys: np.ndarray, w: int) -> np.ndarray:
     """Positions that hold the least key of some window of w keys.
 
-    Equal windows choose equal positions, wherever they stand. A key equal to the one before it is left out, so a run of
-    one word has one position.
+    Equal windows choose equal keys, wherever they stand. A key equal to the one before it is left out, so a run of one
+    word has one position; as windows inside runs then differ in their positions, such keys are compared by windows.
     """
     if len(keys) < w:
         return np.empty(0, np.int64)
@@ -42,26 +42,26 @@ def minimisers(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def _positions(docs: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id, tid, pos) of each retained suffix."""
+    """(key, doc_id, tid, pos, run) of each retained suffix; run: the next key is the same, so further positions were left out."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
                 for doc, tid, text in zip(*[part.column(c).to_pylist() for c in ("doc_id", "tid", "text")]):
                     words = split_words(text)
                     if len(words) < least:
                         continue
                     keys = grams(hashes.of(words), K)
                     pos = minimisers(keys, least - K + 1)
-                    for o, x in zip(out, (keys[pos].view(np.int64), np.full(len(pos), doc), np.full(len(pos), tid), pos.astype(np.int32))):
+                    for o, x in zip(out, (keys[pos].view(np.int64), np.full(len(pos), doc), np.full(len(pos), tid), pos.astype(np.int32), np.append(keys[1:] == keys[:-1], False)[pos])):
                         o.append(x)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, types)], names=["key", "doc_id", "tid", "pos"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, types)], names=["key", "doc_id", "tid", "pos", "run"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, tid long, pos int")
+    return docs.mapInArrow(run, "key long, doc_id long, tid long, pos int, run boolean")
 
 
 def _suffixes(hits: DataFrame, least: int) -> DataFrame:
@@ -219,8 +219,8 @@ def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text") -> Data
     d = d.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     positions = _positions(d, least)
     with tidy(docs.sparkSession):
-        keys = positions.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-        shared = cut(keys.where("lo < hi").select("key", (F.col("n") > SMALL).alias("large")))
+        keys = positions.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.max("run").alias("run"))
+        shared = cut(keys.where("lo < hi").select("key", ((F.col("n") > SMALL) | F.col("run")).alias("large")))
         at = F.when(F.col("large"), -1 - F.col("pos")).otherwise(F.col("pos"))
         hits = cut(positions.join(shared, "key").groupBy("doc_id", "tid").agg(F.collect_set(at).alias("pos")))
         windows = _windows(d.join(hits.where(F.array_min("pos") < 0), ["doc_id", "tid"]), least)

@@ -184,6 +184,15 @@ def test_suffix_dedup_of_passages_that_one_document_repeats(spark):
     assert got == brute_repeats(rows, 50)
 
 
+def test_suffix_dedup_in_runs_of_one_word(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    tails = [text(45) for _ in range(3)]
+    rows = [(10 * k + i, text(20) + f" of{k}" * n + " " + tail + " " + text(20), "s") for k, tail in enumerate(tails) for i, n in enumerate((30, 75, 200, 400))]
+    got = {x["doc_id"]: x["n_repeat_words"] for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
 def test_minimisers_are_the_windows_least():
     r = np.random.default_rng(2)
     for n in (0, 5, 42, 43, 44, 300):
