@@ -53,22 +53,27 @@ def tokens(url: str = "url") -> Column:
     )
 
 
-def mine(transactions: DataFrame, least_support: float = 0.002, least_count: int = 20, least_confidence: float = 0.6, most_tokens: int = 3, most_rules: int = 10_000) -> DataFrame:
+def mine(transactions: DataFrame, least_count: int = 20, least_confidence: float = 0.6) -> DataFrame:
     """(rule_id, antecedent, confidence, support) of the rules `tokens => label=bad`, mined by Spark's FP-growth.
 
-    transactions: an array column `items`. A rule needs both the share of rows and `least_count` rows. A rule whose subset already reaches the confidence is pruned as redundant.
-    The `most_rules` of highest confidence stay, which bounds the index. No rows give no rules.
+    transactions: an array column `items`. A rule needs `least_count` rows, whatever their share, and may have any number of
+    tokens. A rule whose subset already reaches the confidence is pruned as redundant; all others stay. No rows give no rules.
     """
     n = max(1, transactions.count())
-    support = min(1.0, max(least_support, least_count / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(transactions)
-    r = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= most_tokens) & (F.col("support") * n >= least_count - 0.5))
-    r = r.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "antecedent").limit(most_rules)
-    r = cut(r.select(F.md5(F.array_join("antecedent", "\n")).alias("rule_id"), "antecedent", "confidence", "support"))
-    small = r.select(F.explode("antecedent").alias("token"), "rule_id", F.col("antecedent").alias("part"), F.col("confidence").alias("c"))
-    big = r.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    redundant = big.alias("b").join(small.alias("s"), "token").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("c") >= F.col("confidence"))).select("b.rule_id").distinct()
-    return r.join(redundant, "rule_id", "left_anti")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_count / n), minConfidence=least_confidence).fit(transactions)
+    r = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("support") * n >= least_count - 0.5))
+    r = r.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rest = cut(r.select(F.md5(F.array_join("antecedent", "\n")).alias("rule_id"), "antecedent", "confidence", "support"))
+    kept = rest.limit(0)
+    # what no smaller kept rule makes redundant is kept; as many rounds as a rule has tokens at most
+    while (s := rest.agg(F.min(F.size("antecedent"))).first()[0]) is not None:
+        new, rest = rest.where(F.size("antecedent") == s), rest.where(F.size("antecedent") > s)
+        kept = kept.unionByName(new)
+        pairs = match(rest.select(F.col("rule_id").alias("_u_big"), F.col("antecedent").alias("items"), "confidence"), new, "_u_big")
+        sure = pairs.join(new.select("rule_id", F.col("confidence").alias("_u_c")), "rule_id").groupBy("_u_big").agg(F.max("_u_c").alias("_u_c"))
+        rest = rest.join(sure, F.col("rule_id") == F.col("_u_big"), "left").where(F.col("_u_c").isNull() | (F.col("_u_c") < F.col("confidence")))
+        rest = cut(rest.select("rule_id", "antecedent", "confidence", "support"))
+    return kept
 
 
 def match(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:

@@ -73,6 +73,15 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_mined_rules_of_few_rows_and_many_tokens(spark):
+    bad, good = [url_filters.BAD], []
+    rows = [["z"] + good] * 20_000 + [["h"] + bad] * 25 + [["w"] + bad] * 40 + [["w"] + good] * 10
+    rows += [["a", "b", "c", "d"] + bad] * 30 + [[x for x in "abcd" if x != y] + good for y in "abcd" for _ in range(30)]
+    rows += [[f"t{i}" for i in range(8)] + bad] * 22
+    got = {tuple(r["antecedent"]): round(r["confidence"], 3) for r in url_filters.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>").repartition(4)).collect()}
+    assert got == {("h",): 1.0, ("w",): 0.8, ("a", "b", "c", "d"): 1.0} | {(f"t{i}",): 1.0 for i in range(8)}
+
+
 def test_url_filters(spark):
     urls = ["http://A.example.com/en/728?x=1", "https://example.net/de/85#a", "https://b.example.net/de/9", "http://c.org/es/", "http://xcom/en/", None, "no scheme", "", "http://q.com/en/7", "http://q.com", "http://q.com/fr/1?a=b", "a://b://c.com/en/1"]
     rows = [(i, u) for i, u in enumerate(urls)] * 2
