@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 from ..functions.cells import global_rank
 from .ec import require, uniform
 
-#: Most rows of a block of neighbouring ranks; wider shares would not need more.
-MOST_BLOCK = 10_000
-
 
 def rank_swap(df: DataFrame, columns: list[str], rid: str, share: float = 0.05, seed: int = 1) -> DataFrame:
-    """Permutes each column among rows whose ranks are within `share` of the rows (at most MOST_BLOCK ranks) of each other.
+    """Permutes each column among rows whose ranks are within `share` of the rows of each other.
 
-    Ranks come from range partitions, blocks of neighbouring ranks are permuted by hashed draws: the column keeps its
-    distribution exactly. Nulls stay where they are.
+    Ranks come from range partitions, blocks of neighbouring ranks are permuted by hashed draws, which are ranked by range
+    partitions too, so that no block need fit in one task: the column keeps its distribution exactly. Nulls stay where they
+    are.
     """
     require(df, [*columns, rid])
     n = df.count()
-    width = max(2, min(int(n * share), MOST_BLOCK))
+    width = max(2, int(n * share))
     for c in columns:
         part = df.where(F.col(c).isNotNull()).select(F.col(rid).alias("_r"), F.col(c).alias("_v"), uniform(F.col(rid), seed, c).alias("_u")).withColumn("_s", F.struct("_v", "_u", "_r"))
         ranked = global_rank(part, "_s", "_k").withColumn("_b", F.floor((F.col("_k") - 1) / width))
-        place = ranked.select("_v", "_b", F.row_number().over(W.partitionBy("_b").orderBy("_k")).alias("_i"))
-        owner = ranked.select("_r", "_b", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64("_r", F.lit(seed), F.lit(c + "'")), "_r")).alias("_i"))
-        moved = owner.join(place, ["_b", "_i"]).select("_r", "_v")
+        drawn = ranked.select("_r", F.struct("_b", F.xxhash64("_r", F.lit(seed), F.lit(c + "'")).alias("_h"), "_r").alias("_d"))
+        moved = global_rank(drawn, "_d", "_k").select("_r", "_k").join(ranked.select("_v", "_k"), "_k").select("_r", "_v")
         df = df.join(moved, F.col(rid) == F.col("_r"), "left").withColumn(c, F.col("_v")).select(*df.columns)
     return df
 

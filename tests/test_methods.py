@@ -177,6 +177,12 @@ def test_stream_recoding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
+def test_rank_swap_reaches_its_share_of_a_large_table(spark):
+    d = spark.range(300_000).select("id", F.col("id").alias("x"))
+    out = swap.rank_swap(d, ["x"], "id", 0.05).agg(F.max(F.abs(F.col("x") - F.col("id"))).alias("far"), F.countDistinct("x").alias("n")).first()
+    assert 10_000 < out["far"] < 15_000 and out["n"] == 300_000
+
+
 def test_swapping_keeps_distributions(spark):
     d = spark.range(1000).select("id", (F.col("id") * 7 % 501).alias("x"), (F.col("id") % 40).cast("string").alias("g"), (F.col("id") % 3).cast("string").alias("m"))
     out = swap.rank_swap(d, ["x"], "id", 0.05)
