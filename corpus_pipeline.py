@@ -28,7 +28,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class of near duplicates; documents without words all stay."""
+    """Keeps the document of least doc_id of each class of near duplicates; documents without words all stay.
+
+    Rows with a null doc_id all stay, though they link others; rows that repeat a doc_id stay or go together.
+    """
     lost = ngram_join.classes(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 

@@ -185,7 +185,8 @@ def _with_longs(pairs: DataFrame, longs: DataFrame) -> DataFrame:
 def _segments(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """(sid, n, head, tail): the sets of the needed (doc_id, sid), cut into fragments of the order of hashes, the first one apart.
 
-    Partitioned by sid once and written, so that later joins move pairs only. A repeated doc_id may repeat a row.
+    Partitioned by sid once and written, so that later joins move pairs only. A repeated doc_id may repeat a row. A needed
+    set without a doc_id is looked up by its sid among the rows that have none.
     """
 
     def run(batches):
@@ -202,7 +203,10 @@ def _segments(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
     spark = docs.sparkSession
     chosen = docs.join(needed.select(F.col("doc_id").alias("_n_doc"), F.col("sid").alias("_n_sid")), F.col("doc_id") == F.col("_n_doc"))
-    made = chosen.select("doc_id", "text").mapInArrow(run, "sid long, n int, head array<long>, tail array<array<long>>")
+    shape = "sid long, n int, head array<long>, tail array<array<long>>"
+    bare = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(run, shape)
+    bare = bare.join(needed.where("doc_id IS NULL").select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    made = chosen.select("doc_id", "text").mapInArrow(run, shape).unionByName(bare)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan would not tell that its rows lie by sid
     try:
@@ -259,7 +263,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     sizes = cut(long.groupBy("h").agg(F.count("*").alias("size")))
     big = cut(long.join(sizes.where(F.col("size") > BIG), "h").groupBy("sid").agg(F.first("n").alias("n")))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    owners = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    owners = rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi"), k)
     labels = cut(ends(near).unionByName(long.select("sid")).distinct().select(F.col("sid").alias("node"), F.col("sid").alias("component")))
     named = lambda df: df.join(labels.select(F.col("node").alias("sid"), "component"), "sid")

@@ -193,6 +193,15 @@ def test_suffix_dedup_in_runs_of_one_word(spark):
     assert got == brute_repeats(rows, 50)
 
 
+def test_ngram_join_links_over_null_ids(spark):
+    w = [f"n{i}" for i in range(100)]
+    first, bridge = w, w[:94] + [f"m{i}" for i in range(6)]
+    last = [f"k{i}" for i in range(6)] + bridge[6:]
+    rows = [(7, " ".join(first), "s"), (None, " ".join(bridge), "s"), (None, " ".join(bridge), "s"), (9, " ".join(last), "s"), (11, "alone", "s")]
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 7), (0, 7), (7, 7), (9, 7), (11, 11)]
+
+
 def test_minimisers_are_the_windows_least():
     r = np.random.default_rng(2)
     for n in (0, 5, 42, 43, 44, 300):
