@@ -36,11 +36,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK + "+", -1), "")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct `row`, so that a step's own names cannot clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, *own: str) -> list[Column]:
+    """The columns of df out of `row`, but for those whose names the step gives to its own results."""
+    taken = {n.lower() for n in own}
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder of spark.checkpoint.dir (a temporary one where none is set), where it outlives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Computes df once into the shared folder, where it outlives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, text_of, words_of
+from .common import BLANK, packed, text_of, unpacked, words_of
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -25,34 +25,35 @@ THRESHOLDS: list[tuple[str, str, str | None, float | None, float | None]] = [
 ]
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts that the thresholds name. A null text has no words; a nested column is never left in the result.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_full_lines", "n_dup_lines", "n_stop_words"]
+
+
+def measures(docs: DataFrame, text: str = "text", *own: str) -> DataFrame:
+    """Adds the counts that the thresholds name; they and `own` replace columns of those names. A null text has no words.
 
     n_repeat_words counts the words inside three-word windows found twice or more in the text. Windows are compared by
     64-bit hashes; sorting (hash, position) inside the row keeps this n log n for very long texts.
     """
-    keep = [c for c in docs.columns if not c.startswith("_q_")]
-    d = docs.select(*keep, text_of(text).alias("_q_text"))
-    d = d.select(*keep, "_q_text", words_of(F.col("_q_text")).alias("_q_words"), F.filter(F.split("_q_text", "\n", -1), lambda x: x.rlike(BLANK.replace("[", "[^"))).alias("_q_lines"))
-    w = F.col("_q_words")
+    d = docs.select(packed(docs), text_of(text).alias("text"))
+    d = d.select("row", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(BLANK.replace("[", "[^"))).alias("lines"))
+    w = F.col("words")
     d = d.select(
-        *keep,
+        "row",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.length("_q_text") - F.length(F.regexp_replace("_q_text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        F.size("_q_lines").cast("long").alias("n_full_lines"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_full_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).alias("_q_tri"),
+        F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).alias("windows"),
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_full_lines", "n_dup_lines", "n_stop_words"]
-    repeats = F.size(F.array_distinct("_q_tri")) < F.size("_q_tri")
-    d = d.select(*keep, *counts, F.when(repeats, F.sort_array(F.transform("_q_tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_q_sorted"))
-    s = F.col("_q_sorted")
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    d = d.select("row", *COUNTS, F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
+    s = F.col("sorted")
     hits = F.filter(s, lambda e, j: (F.get(s, j - 1)["h"] == e["h"]) | (F.get(s, j + 1)["h"] == e["h"]))
-    d = d.select(*keep, *counts, hits.alias("_q_hits"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_q_hits", lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
-    return d.select(*keep, *counts, F.when(F.col("_q_hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
+    d = d.select("row", *COUNTS, hits.alias("hits"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
+    return d.select(*unpacked(docs, *COUNTS, "n_repeat_words", *own), *COUNTS, F.when(F.col("hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
@@ -75,10 +76,11 @@ def failed_rules(thresholds=THRESHOLDS) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """docs with its counts, `base_failed`, `failed` (rule names) and `kept`.
 
-    Empty and null texts have no words and fail; repeated rows are judged alike; extra columns pass through.
+    Empty and null texts have no words and fail; repeated rows are judged alike; extra columns pass through, but for those
+    that have the name of a result, which the result replaces.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs, text).select("*", base.alias("base_failed"), failed_rules(thresholds).alias("failed"), (~base & verdict(thresholds)).alias("kept"))
+    return measures(docs, text, "base_failed", "failed", "kept").select("*", base.alias("base_failed"), failed_rules(thresholds).alias("failed"), (~base & verdict(thresholds)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -64,7 +64,8 @@ def brute_rules(t):
 
 def test_quality_rules(spark):
     rows = [*AWKWARD, (20, "a b c a b c d"), (21, "a a a a a"), (22, "# * | <x> the of and\nthe of and\nthe of and"), (23, "the quick of and " * 40)]
-    got = quality_rules.quality_rules(docs(spark, rows).withColumn("n_words", F.lit("clash")).drop("n_words"))
+    got = quality_rules.quality_rules(docs(spark, rows).withColumns({c: F.lit("clash") for c in ("n_words", "kept", "failed", "row", "words", "lines", "_q_text", "a.b")}))
+    assert {"row", "words", "lines", "_q_text", "a.b"} <= set(got.columns) and len(got.columns) == len(set(got.columns))
     for r, (i, t) in zip(sorted(got.collect(), key=lambda r: str(r["doc_id"])), sorted(rows, key=lambda r: str(r[0]))):
         n, *rest = want = brute_rules(t)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, i
