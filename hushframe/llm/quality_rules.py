@@ -28,8 +28,8 @@ THRESHOLDS: list[tuple[str, str, str | None, float | None, float | None]] = [
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_full_lines", "n_dup_lines", "n_stop_words"]
 
 
-def measures(docs: DataFrame, text: str = "text", *own: str) -> DataFrame:
-    """Adds the counts that the thresholds name; they and `own` replace columns of those names. A null text has no words.
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """Each row of docs as `row`, and the counts that the thresholds name. A null text has no words.
 
     n_repeat_words counts the words inside three-word windows found twice or more in the text. Windows are compared by
     64-bit hashes; sorting (hash, position) inside the row keeps this n log n for very long texts.
@@ -53,7 +53,7 @@ def measures(docs: DataFrame, text: str = "text", *own: str) -> DataFrame:
     hits = F.filter(s, lambda e, j: (F.get(s, j - 1)["h"] == e["h"]) | (F.get(s, j + 1)["h"] == e["h"]))
     d = d.select("row", *COUNTS, hits.alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
-    return d.select(*unpacked(docs, *COUNTS, "n_repeat_words", *own), *COUNTS, F.when(F.col("hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
+    return d.select("row", *COUNTS, F.when(F.col("hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
@@ -80,7 +80,8 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
     that have the name of a result, which the result replaces.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs, text, "base_failed", "failed", "kept").select("*", base.alias("base_failed"), failed_rules(thresholds).alias("failed"), (~base & verdict(thresholds)).alias("kept"))
+    results = {"base_failed": base, "failed": failed_rules(thresholds), "kept": ~base & verdict(thresholds)}
+    return unpacked(docs, _measured(docs, text), **{c: F.col(c) for c in [*COUNTS, "n_repeat_words"]}, **results)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
