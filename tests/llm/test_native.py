@@ -44,9 +44,14 @@ def brute_lines(rows):
 
 
 def test_line_dedup(spark):
-    d = docs(spark, AWKWARD).withColumn("n_lines", F.lit("clash")).withColumn("h1", F.lit(0))
+    d = docs(spark, AWKWARD).withColumns({c: F.lit("clash") for c in ("n_lines", "kept", "h1", "row", "lines", "hash", "pos", "at", "doc", "runs", "a.b")})
+    assert {"h1", "row", "lines", "hash", "pos", "at", "doc", "runs", "a.b"} <= set(line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).columns)
     got = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_lines(AWKWARD)
+    plan = line_dedup.first_occurrences(line_dedup._keyed_lines(d, "text", 20))
+    with line_dedup._streaming_aggregates(spark):
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in shown and "HashAggregate" not in shown and shown.count("Exchange ") == 1
     empty = docs(spark, [])
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 

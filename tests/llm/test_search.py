@@ -193,6 +193,27 @@ def test_suffix_dedup_in_runs_of_one_word(spark):
     assert got == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("case", ["one word only", "tails and heads of a passage", "large keys", "runs around the least length"])
+def test_suffix_dedup_of_hot_keys(spark, case):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    if case == "one word only":
+        rows = [(0, "q " * 100, "s"), (1, "q " * 100, "s")]
+    elif case == "tails and heads of a passage":
+        w = text(50).split()
+        rows = [(i, " ".join([text(20), *w, text(20)]), "s") for i in (0, 1)]
+        rows += [(10 + i, " ".join([text(30), *(w[25:] if i % 2 else w[:25]), text(30)]), "s") for i in range(120)]
+    elif case == "large keys":
+        rows = []
+        for k, n in enumerate((33, 200, 5000)):
+            q = text(55)
+            rows += [(10_000 * (k + 1) + i, text(6) + " " + q + " " + text(4), "s") for i in range(n)]
+    else:
+        rows = [(i, text(20) + " of" * n + " " + text(30), "s") for i, n in enumerate((49, 50, 51, 60, 120, 300, 500))]
+    got = {x["doc_id"]: x["n_repeat_words"] for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
 def test_ngram_join_links_over_null_ids(spark):
     w = [f"n{i}" for i in range(100)]
     first, bridge = w, w[:94] + [f"m{i}" for i in range(6)]
