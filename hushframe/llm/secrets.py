@@ -17,9 +17,9 @@ PATTERNS = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 KINDS = [p[0] for p in PATTERNS] + ["markov"]
-#: The models' alphabet; what a token is, and the least length at which one is scored.
+#: The models' alphabet, and what a token is that they score.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Words that the ordinary samples are composed of.
 PARTS = (
     "account address array buffer cache client column config connection content context counter current customer data default delete description document "
@@ -66,52 +66,72 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def mean_ratio(token: Column, ratios: Column) -> Column:
-    """Mean log-likelihood ratio of a token's character pairs."""
-    code = lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(token, i, 1)) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, code(i) * len(ALPHABET) + code(i + 1)))
-    return total / (F.length(token) - 1)
+    """Mean log-likelihood ratio of a token's character pairs, in one walk over its characters."""
+    code = lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
+
+    def step(acc, c):
+        pair = F.when(acc["before"] < 0, F.lit(0.0)).otherwise(F.get(ratios, acc["before"] * len(ALPHABET) + code(c)))
+        return F.struct(code(c).alias("before"), (acc["total"] + pair).alias("total"))
+
+    return F.aggregate(F.split(token, ""), start, step)["total"] / (F.length(token) - 1)
 
 
 def _literal(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.6f}" for v in values)), ",").cast("array<double>")
 
 
+def is_random(token: Column, ratios: Column, least_ratio: float, sure_length: int = 20, step: float = 0.1) -> Column:
+    """Whether a token's mean ratio reaches `least_ratio`, or `step` more for each character that it lacks of `sure_length`.
+
+    A short token's mean rests on few pairs, so it must speak the clearer.
+    """
+    return mean_ratio(token, ratios) >= least_ratio + step * F.greatest(F.lit(0), sure_length - F.length(token))
 
 
-def secret_scan(docs: DataFrame, ratios: list[float], text: str = "text", least_ratio: float = 0.4, key: str = "doc_id") -> DataFrame:
+def secret_scan(docs: DataFrame, ratios: list[float], text: str = "text", least_ratio: float = 0.3, key: str = "doc_id", kinds=KINDS) -> DataFrame:
     """(key, spans): all secrets of each row as (start, order, kind, end), offsets in code points, end exclusive, in order.
 
-    Kinds follow KINDS. Pattern matches are leftmost and do not overlap within a kind. `markov` adds tokens whose mean ratio
-    reaches `least_ratio` and that no pattern's span holds or meets. Null and empty texts have no spans; repeated rows repeat.
-    Offsets come from splitting at the matches, so the work is linear in the text for each pattern.
+    Kinds follow KINDS; `kinds` may leave some out. Pattern matches are leftmost and do not overlap within a kind. `markov`
+    adds tokens that is_random() and that no pattern's span holds or meets. Null and empty texts have no spans; repeated rows
+    repeat; extra columns are ignored. Offsets come from splitting at the matches, so the work is linear in the text for each
+    pattern.
     """
     d = docs.select(key, text_of(text).alias("t"))
-    scans = [*PATTERNS, ("markov", TOKEN, 0, 20)]
+    scans = [(k, rx, group, least) for k, rx, group, least in [*PATTERNS, ("markov", TOKEN, 0, 0)] if k in kinds]
+    names = [k for k, *_ in scans]
     d = d.select("*", *[F.split("t", rx, -1).alias(f"gaps_{k}") for k, rx, _, _ in scans])
-    hit = lambda k, rx, g: F.when(F.size(f"gaps_{k}") > 1, F.regexp_extract_all("t", F.lit(rx), F.lit(g)))
-    d = d.select(key, *[F.transform(f"gaps_{k}", F.length).alias(f"gap_{k}") for k, *_ in scans], *[hit(k, rx, 0).alias(f"hit_{k}") for k, rx, _, _ in scans], hit("assign", PATTERNS[0][1], 1).alias("value"))
+
+    def hits(k, rx, group, least):
+        """(token, ok) of each match; ok: the group that counts is long enough. Group 0 is so by its pattern."""
+        whole = F.regexp_extract_all("t", F.lit(rx), F.lit(0))
+        if group:
+            found = F.zip_with(whole, F.regexp_extract_all("t", F.lit(rx), F.lit(group)), lambda h, v: F.struct(h.alias("token"), (F.length(v) >= least).alias("ok")))
+        else:
+            found = F.transform(whole, lambda h: F.struct(h.alias("token"), F.lit(True).alias("ok")))
+        return F.when(F.size(f"gaps_{k}") > 1, found).alias(f"hit_{k}")
+
+    d = d.select(key, *[F.transform(f"gaps_{k}", F.length).alias(f"gap_{k}") for k in names], *[hits(*s) for s in scans])
     none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
-    sized = {"assign": F.zip_with("hit_assign", "value", lambda h, v: F.struct(h.alias("token"), (F.length(v) >= 12).alias("ok")))}
-    d = d.select(key, *[f"gap_{k}" for k, *_ in scans], *[sized.get(k, F.transform(f"hit_{k}", lambda h: F.struct(h.alias("token"), F.lit(True).alias("ok")))).alias(f"hit_{k}") for k, *_ in scans])
 
-    def located(k: str, order: int) -> Column:
+    def located(k: str) -> Column:
         both = F.zip_with(F.slice(f"gap_{k}", F.lit(1), F.size(f"hit_{k}")), F.col(f"hit_{k}"), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
         start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
         def step(acc, x):
             begin = acc["at"] + x["g"]
             end = begin + F.length(x["h"]["token"])
-            span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["h"]["token"].alias("token"))
+            span = F.struct(begin.alias("start"), F.lit(KINDS.index(k)).alias("kind"), end.alias("end"), x["h"]["token"].alias("token"))
             return F.struct(end.alias("at"), F.when(x["h"]["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
         return F.coalesce(F.aggregate(both, start, step)["out"], none)
 
-    d = d.select(key, *[located(k, n).alias(f"span_{k}") for n, (k, *_) in enumerate(scans)])
-    d = d.select(key, F.concat(*[f"span_{k}" for k, *_ in PATTERNS]).alias("base"), "span_markov")
-    table_ = _literal(ratios)
-    fresh = F.filter("span_markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    d = d.select(key, *[located(k).alias(f"span_{k}") for k in names])
+    by_model = F.col("span_markov") if "markov" in names else none
+    d = d.select(key, F.concat(none, *[f"span_{k}" for k in names if k != "markov"]).alias("base"), by_model.alias("scored"))
+    fresh = F.filter("scored", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     d = d.select(key, "base", fresh.alias("fresh"))
-    added = F.filter("fresh", lambda m: mean_ratio(m["token"], table_) >= least_ratio)
+    added = F.filter("fresh", lambda m: is_random(m["token"], _literal(ratios), least_ratio))
     named = F.transform(F.sort_array(F.concat("base", added)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("order"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end")))
     return d.select(key, named.alias("spans"))
 
