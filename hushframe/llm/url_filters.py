@@ -53,17 +53,25 @@ def tokens(url: str = "url") -> Column:
     )
 
 
-def mine(transactions: DataFrame, least_count: int = 20, least_confidence: float = 0.6) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) of the rules `tokens => label=bad`, mined by Spark's FP-growth.
+def mine(transactions: DataFrame, least_count: int = 20, least_confidence: float = 0.5, least_lift: float = 1.5, least_z: float = 4.0) -> DataFrame:
+    """(rule_id, antecedent, confidence, support) of the rules `tokens => label=bad`, from the itemsets of Spark's FP-growth.
 
-    transactions: an array column `items`. A rule needs `least_count` rows, whatever their share, and may have any number of
-    tokens. A rule whose subset already reaches the confidence is pruned as redundant; all others stay. No rows give no rules.
+    transactions: an array column `items`. A rule needs `least_count` bad rows, whatever their share, `least_confidence`,
+    `least_lift` over the share of bad rows, and a count of bad rows `least_z` standard deviations above what that share gives
+    its rows by chance, as many itemsets are tried. It may have any number of tokens. A rule whose subset already reaches the
+    confidence is pruned as redundant; all others stay. No rows give no rules.
     """
-    n = max(1, transactions.count())
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_count / n), minConfidence=least_confidence).fit(transactions)
-    r = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("support") * n >= least_count - 0.5))
-    r = r.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rest = cut(r.select(F.md5(F.array_join("antecedent", "\n")).alias("rule_id"), "antecedent", "confidence", "support"))
+    bad = F.array_contains("items", BAD)
+    n, n_bad = transactions.agg(F.count("*"), F.count(F.when(bad, 1))).first()
+    base = n_bad / max(1, n)
+    itemsets = FPGrowth(itemsCol="items", minSupport=min(1.0, least_count / max(1, n))).fit(transactions).freqItemsets
+    named = itemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent"), "freq", bad.alias("bad"))
+    named = named.where("freq >= %d AND size(antecedent) > 0" % least_count).withColumn("rule_id", F.md5(F.array_join("antecedent", "\n")))
+    all_rows = named.where("NOT bad").select("rule_id", F.col("freq").alias("rows"))
+    r = named.where("bad").select("rule_id", "antecedent", "freq").join(all_rows, "rule_id").withColumn("confidence", F.col("freq") / F.col("rows"))
+    chance = F.sqrt(base * (1 - base) * F.col("rows"))
+    clear = (F.col("confidence") >= max(least_confidence, least_lift * base)) & (F.col("freq") - base * F.col("rows") >= least_z * chance)
+    rest = cut(r.where(clear).select("rule_id", "antecedent", "confidence", (F.col("freq") / F.lit(max(1, n))).alias("support")))
     kept = rest.limit(0)
     # what no smaller kept rule makes redundant is kept; as many rounds as a rule has tokens at most
     while (s := rest.agg(F.min(F.size("antecedent"))).first()[0]) is not None:
@@ -77,25 +85,28 @@ def mine(transactions: DataFrame, least_count: int = 20, least_confidence: float
 
 
 def match(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, rule_id): rules all of whose tokens a page has. pages: key and `items`.
+    """(key, rule_id): rules all of whose tokens a page has. pages: key and `items`; a null key matches nothing.
 
     Inverted index: each rule is listed under its rarest token only (by the pages' own counts), so a token that nearly
-    every URL holds brings no candidates unless a rule has nothing rarer.
+    every URL holds brings no candidates unless a rule has nothing rarer. Only pages under a listed token bring their items.
     """
-    posted = pages.select(key, F.explode("items").alias("token"), "items")
+    posted = pages.select(key, F.explode("items").alias("token"))
     wanted = rules.select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
     counts = posted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     listed = wanted.join(counts, "token", "left").groupBy("rule_id", "antecedent").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
-    return posted.join(listed, "token").where(F.size(F.array_except("antecedent", "items")) == 0).select(key, "rule_id")
+    under = posted.join(listed, "token").select(key, "rule_id", "antecedent")
+    alone = under.where(F.size("antecedent") == 1).select(key, "rule_id")
+    several = under.where(F.size("antecedent") > 1).join(pages.select(key, "items"), key)
+    return alone.unionByName(several.where(F.size(F.array_except("antecedent", "items")) == 0).select(key, "rule_id")).where(F.col(key).isNotNull()).distinct()
 
 
 def url_filters(pages: DataFrame, labels: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", **mining) -> DataFrame:
-    """(key, host, path, rule, verdict, n_mined) for every row of pages.
+    """(key, host, path, rule, verdict, n_mined) for every row of pages; n_mined counts the mined rules that match.
 
     labels: (key, bad boolean) of some pages; rows with a null in either are not learnt from. Explicit rules decide where
     one fits; elsewhere a page that any mined rule matches is blocked and the rest are allowed. Null and malformed URLs
-    have empty parts and no tokens. Rows that repeat a key are judged one by one, but share the mined verdict of the key's
-    tokens taken together. Extra columns are ignored.
+    have empty parts and no tokens. Rows that repeat a key are judged one by one, but share the mined rules that any of them
+    matches; a null key has none. Extra columns are ignored.
     """
     d = with_parts(pages.select(key, url), url)
     items = d.select(key, tokens(url).alias("items"))
@@ -110,4 +121,4 @@ def url_filters(pages: DataFrame, labels: DataFrame, rules=RULES, key: str = "pa
 def query(spark, sf_dir: str) -> DataFrame:
     """A labelled page is the document of the same number; either fault (low quality or toxic) makes it bad."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filters(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    return url_filters(table(spark, sf_dir, "pages"), labels)

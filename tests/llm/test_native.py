@@ -1,6 +1,8 @@
 """Operators on text and conversations against brute force on small tables with every awkward case."""
 
 import hashlib
+import itertools
+import random
 import re
 
 import pytest
@@ -84,14 +86,49 @@ def test_mined_rules_of_few_rows_and_many_tokens(spark):
     rows = [["z"] + good] * 20_000 + [["h"] + bad] * 25 + [["w"] + bad] * 40 + [["w"] + good] * 10
     rows += [["a", "b", "c", "d"] + bad] * 30 + [[x for x in "abcd" if x != y] + good for y in "abcd" for _ in range(30)]
     rows += [[f"t{i}" for i in range(8)] + bad] * 22
-    got = {tuple(r["antecedent"]): round(r["confidence"], 3) for r in url_filters.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>").repartition(4)).collect()}
+    transactions = spark.createDataFrame([(x,) for x in rows], "items array<string>").repartition(4)
+    got = {tuple(r["antecedent"]): round(r["confidence"], 3) for r in url_filters.mine(transactions, least_confidence=0.6).collect()}
     assert got == {("h",): 1.0, ("w",): 0.8, ("a", "b", "c", "d"): 1.0} | {(f"t{i}",): 1.0 for i in range(8)}
 
 
+def brute_mine(rows, least_count, least_confidence, least_lift, least_z):
+    """Every token combination of the bad rows, and of what is clear the sets without a kept subset of their confidence."""
+    base = sum(url_filters.BAD in x for x in rows) / len(rows)
+    bad_rows = [frozenset(x) - {url_filters.BAD} for x in rows if url_filters.BAD in x]
+    combos = {frozenset(c) for x in bad_rows for k in range(1, len(x) + 1) for c in itertools.combinations(sorted(x), k)}
+    clear = {}
+    for c in combos:
+        n, b = sum(c <= set(x) for x in rows), sum(c <= x for x in bad_rows)
+        if b >= least_count and b / n >= max(least_confidence, least_lift * base) and b - base * n >= least_z * (base * (1 - base) * n) ** 0.5:
+            clear[c] = b / n
+    kept = {}
+    for c in sorted(clear, key=len):
+        if not any(k < c and kept[k] >= clear[c] for k in kept):
+            kept[c] = clear[c]
+    return {tuple(sorted(c)): round(v, 6) for c, v in kept.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mining_and_matching_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        x = [t for t in "abcdefg" if r.random() < 0.45]
+        rows.append(x + [url_filters.BAD] * (r.random() < (0.9 if {"a", "b"} <= set(x) else 0.7 if "c" in x and "d" not in x else 0.1)))
+    mined = url_filters.mine(spark.createDataFrame([(x,) for x in rows], "items array<string>"), least_count=10, least_z=3.0)
+    rules = {tuple(x["antecedent"]): round(x["confidence"], 6) for x in mined.collect()}
+    assert rules == brute_mine(rows, 10, 0.5, 1.5, 3.0) and len(rules) > 2
+    pages = [(i if i % 50 else None, x) for i, x in enumerate(rows)] + [(1, ["a", "b"])]
+    got = {(h["page_id"], h["rule_id"]) for h in url_filters.match(spark.createDataFrame(pages, "page_id long, items array<string>"), mined).collect()}
+    ids = {tuple(x["antecedent"]): x["rule_id"] for x in mined.collect()}
+    assert got == {(i, ids[a]) for i, x in pages for a in rules if i is not None and set(a) <= set(x)}
+
+
 def test_url_filters(spark):
     urls = ["http://A.example.com/en/728?x=1", "https://example.net/de/85#a", "https://b.example.net/de/9", "http://c.org/es/", "http://xcom/en/", None, "no scheme", "", "http://q.com/en/7", "http://q.com", "http://q.com/fr/1?a=b", "a://b://c.com/en/1"]
     rows = [(i, u) for i, u in enumerate(urls)] * 2
-    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("clash"))
+    rows += [(100, "http://q.com/fr/" + "x/" * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("rule", "host", "items", "_u_rule", "n_mined", "token")})
     labels = spark.createDataFrame([(0, True), (1, None), (None, False)], "page_id long, bad boolean")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.url_filters(pages, labels).collect()}
     assert got[0] == ("a.example.com", "/en/728", "example.com/en/7", "allow")
