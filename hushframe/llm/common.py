@@ -44,6 +44,8 @@ def packed(df: DataFrame) -> Column:
 def unpacked(df: DataFrame, d: DataFrame, **own: Column) -> DataFrame:
     """The columns of df out of d's `row` with the step's own results, which replace columns of their names."""
     taken = {n.lower() for n in own}
+    if not own:
+        return d.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
     d = d.select("row", F.struct(*[c.alias(n) for n, c in own.items()]).alias("own"))
     return d.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken], *[F.col("own").getField(n).alias(n) for n in own])
 

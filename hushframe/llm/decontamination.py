@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, split_words, table
+from .common import cut, grams, packed, split_words, table, tidy, unpacked
+from .hashing import slices, word_hashes
 
 K = 5
-OUT = "doc_id long, item_id long, n_shingles int, n_shared int"
-
-
-@dataclass
-class Block:
-    """A bounded part of the benchmark: its items, and for each sketch hash the items that it stands for."""
-
-    items: list[tuple[int, int, set[tuple[bytes, ...]]]]  # item_id, shingle length, distinct shingles
-    keys: dict[int, np.ndarray]  # shingle length to sorted sketch hashes
-    owners: dict[int, np.ndarray]  # items of those hashes, in step
+#: Bits of the prefilter for each shingle of the benchmark, and the most bits it may have (as a power of two): 32 MB.
+BITS_EACH, MOST_BITS = 4096, 28
+#: Contaminated texts up to this number are told to all tasks (8 bytes each); beyond it documents are joined with them.
+MOST_TOLD = 1 << 22
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -30,98 +22,122 @@ def sketch_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def build(rows, percent: int, hashes: WordHashes) -> Block:
-    """Index of (item_id, text) rows, partitioned by item size: larger items keep more of their least hashes.
+def items_of(benchmark: DataFrame, percent: int, text: str = "text") -> DataFrame:
+    """(iid, item_id, k, n, hashes, shingles, sketch) of each benchmark row with words.
 
-    Items of under five words have one shingle, their whole sequence; items without words are left out.
+    shingles: the distinct runs of k words (five, or all of a shorter item), joined by a blank, and their 64-bit hashes;
+    sketch: the shingles of the least hashes, more for larger items, as many as make any containing document hold one.
+    """
+    schema = "item_id long, k int, n int, hashes array<long>, shingles array<string>, sketch array<string>"
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b):
+                rows = []
+                h, bounds = word_hashes(part.column("text"))
+                for item, t, x, y in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if x == y:
+                        continue
+                    k = min(K, y - x)
+                    g, first = np.unique(grams(h[x:y], k), return_index=True)
+                    words = split_words(t)
+                    names = [b" ".join(words[i : i + k]).decode("utf-8", "replace") for i in first.tolist()]
+                    rows.append((item, k, len(g), g.view(np.int64), names, names[: sketch_size(len(g), percent)]))
+                cols = list(zip(*rows)) or [()] * 6
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "k", "n", "hashes", "shingles", "sketch"])
+
+    made = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return cut(made.withColumn("iid", F.monotonically_increasing_id()))
+
+
+def prefilter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """(bitmap, bits, shingle lengths): which hashes any shingle of the benchmark may have. At most 2**MOST_BITS bits."""
+    total, ks = items.agg(F.sum("n"), F.sort_array(F.collect_set("k"))).first()
+    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(BITS_EACH * max(1, total or 0))))))
+    slots = items.select(F.explode("hashes").alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("slot"))
+    ones = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[ones["word"].to_numpy(np.int64)] = ones["bit"].to_numpy(np.int64).view(np.uint64)
+    return bitmap, bits, ks or []
+
+
+def document_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(uid, doc_id, tid, hits): the documents that may hold a shingle of the benchmark, and those shingles, in one scan.
+
+    hits: distinct shingles of the documents' own words that pass the prefilter; tid: hash of the text.
+    """
+    bitmap, bits, ks = prefilter(items)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shift = np.uint64(64 - bits)
+
+    def run(batches):
+        known = held.value
+        for b in batches:
+            for part in slices(b):
+                h, bounds = word_hashes(part.column("text"))
+                found = {}
+                for k in ks:
+                    g = grams(h, k) >> shift
+                    at = np.flatnonzero((known[g >> np.uint64(6)] >> (g & np.uint64(63))) & np.uint64(1))
+                    row = np.searchsorted(bounds, at, side="right") - 1
+                    inside = at + k <= bounds[row + 1]
+                    for r, i in zip(row[inside].tolist(), (at - bounds[row])[inside].tolist()):
+                        found.setdefault(r, []).append((i, k))
+                docs_, tids, hits = [], [], []
+                for r, places in found.items():
+                    words = split_words(part.column("text")[r].as_py())
+                    docs_.append(part.column("doc_id")[r].as_py())
+                    tids.append(part.column("tid")[r].as_py())
+                    hits.append(list({b" ".join(words[i : i + k]).decode("utf-8", "replace") for i, k in places}))
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(tids, pa.int64()), pa.array(hits, pa.list_(pa.string()))], names=["doc_id", "tid", "hits"])
+
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid long, hits array<string>").withColumn("uid", F.monotonically_increasing_id())
+
+
+def _marked(docs: DataFrame, text: str) -> DataFrame:
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("tid"), t.alias("text"))
+
+
+def _contained(docs: DataFrame, benchmark: DataFrame, percent: int, text: str) -> DataFrame:
+    """(doc_id, tid, item_id, n_shingles, n_shared), checkpointed.
+
+    Sketches of all items, spread over tasks by shingle, meet the documents' hits; only items of sizes that the number of a
+    document's hits can fill go on (that is the size partition), and each (document, item) is verified on the words of all
+    shingles that both hold.
     """
-    items, found = [], {}
-    for item, text in rows:
-        words = split_words(text)
-        if not words:
-            continue
-        k = min(K, len(words))
-        items.append((item, k, {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}))
-        h = np.unique(grams(hashes.of(words), k))
-        for x in h[: sketch_size(len(h), percent)]:
-            found.setdefault(k, []).append((x, len(items) - 1))
-    keys, owners = {}, {}
-    for k, pairs in found.items():
-        pairs.sort()
-        keys[k] = np.array([p[0] for p in pairs], np.uint64)
-        owners[k] = np.array([p[1] for p in pairs], np.int64)
-    return Block(items, keys, owners)
-
-
-def search(text: str | None, block: Block, percent: int, hashes: WordHashes):
-    """(item_id, n_shingles, n_shared) of the block's items that one whole text contains."""
-    words = split_words(text)
-    h = hashes.of(words)
-    for k, keys in block.keys.items():
-        g = np.unique(grams(h, k))
-        at = np.searchsorted(g, keys)
-        hit = (at < len(g)) & (g[np.minimum(at, len(g) - 1)] == keys) if len(g) else np.zeros(len(keys), bool)
-        candidates = np.unique(block.owners[k][hit])
-        if len(candidates):
-            own = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
-            for c in candidates:
-                item, _, shingles = block.items[c]
-                shared = len(shingles & own)
-                if 100 * shared >= percent * len(shingles):
-                    yield item, len(shingles), shared
-
-
-def blocks(benchmark: DataFrame, percent: int, block_bytes: int):
-    """The benchmark as broadcast blocks of at most `block_bytes` of text, or one item; at least one block."""
-    sc = benchmark.sparkSession.sparkContext
-    rows, size, none = [], 0, True
-    for item, t in benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).toLocalIterator():
-        if rows and size + len(t) > block_bytes:
-            yield sc.broadcast(build(rows, percent, WordHashes()))
-            rows, size, none = [], 0, False
-        rows.append((item, t))
-        size += len(t)
-    if rows or none:
-        yield sc.broadcast(build(rows, percent, WordHashes()))
-
-
-def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_bytes: int = 16 << 20, text: str = "text") -> DataFrame:
+    with tidy(docs.sparkSession):
+        items = items_of(benchmark, percent)
+        hits = cut(document_hits(_marked(docs, text), items))
+        sketches = items.select("iid", "n", F.explode("sketch").alias("shingle"))
+        posted = hits.select("uid", F.size("hits").alias("n_hits"), F.explode("hits").alias("shingle"))
+        pairs = posted.join(sketches, "shingle").where(100 * F.col("n_hits") >= percent * F.col("n")).select("uid", "iid").distinct()
+        both = pairs.join(items.select("iid", "item_id", "n", "shingles"), "iid").join(hits, "uid")
+        both = both.select("doc_id", "tid", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("shingles", "hits")).alias("n_shared"))
+        return cut(both.where(100 * F.col("n_shared") >= percent * F.col("n_shingles")))
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared): items of which a document holds `percent` of the five-word shingles.
 
-    Words are lower-cased in A-Z. The benchmark goes out in bounded blocks, each broadcast and matched against all
-    documents; a document's sketch test is exact, since an item's bottom-k hashes are one more than its missing shingles
-    may be, and candidates are verified on the words themselves. Nothing shuffles. Null and empty texts match nothing;
-    repeated items or documents repeat their rows; null ids pass through; extra columns are ignored.
+    Words are lower-cased in A-Z; items of under five words have one shingle, their whole sequence. Documents are read once; a
+    bitmap of bounded size tells which of their shingles may be the benchmark's, and only those go on. An item's sketch is one
+    shingle more than may be missing, so no containing document is lost, and counts are of words, not of hashes. Null and
+    empty texts match nothing; repeated items or documents repeat their rows; null ids pass through; extra columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _contained(docs, benchmark, percent, text).drop("tid")
 
-    def finder(held):
-        def run(batches):
-            hashes, block = WordHashes(), held.value
-            for b in batches:
-                found = [(doc, *hit) for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for hit in search(t, block, percent, hashes)]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        return run
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs without the rows whose text contains an item; all columns and all other rows pass as they are.
 
-    return reduce(DataFrame.unionByName, [d.mapInArrow(finder(held), OUT) for held in blocks(benchmark, percent, block_bytes)])
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_bytes: int = 16 << 20, text: str = "text") -> DataFrame:
-    """docs without the rows whose text contains an item; all columns and all other rows pass as they are, unshuffled."""
-
-    def keeper(held):
-        def run(batches):
-            hashes, block = WordHashes(), held.value
-            for b in batches:
-                yield b.filter(pa.array([next(search(t, block, percent, hashes), None) is None for t in b.column(text).to_pylist()], pa.bool_()))
-
-        return run
-
-    for held in blocks(benchmark, percent, block_bytes):
-        docs = docs.mapInArrow(keeper(held), docs.schema)
-    return docs
+    Up to MOST_TOLD contaminated texts are broadcast and nothing shuffles; beyond that Spark joins as it sees fit.
+    """
+    lost = cut(_contained(docs, benchmark, percent, text).select("tid").distinct())
+    lost = F.broadcast(lost) if lost.count() <= MOST_TOLD else lost
+    d = docs.select(packed(docs), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"))
+    return unpacked(docs, d.join(lost, "tid", "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -112,8 +112,12 @@ def test_word_hashes_match_split():
     assert sum(p.num_rows for p in hashing.slices(sliced, most_bytes=8)) == len(texts) - 2
 
 
-def test_decontamination(spark):
+CLASHES = ["tid", "uid", "hits", "row", "key", "n", "iid", "shingle", "tid0", "a.b"]
+
+
+def test_decontamination(spark, monkeypatch):
     rows = corpus()
+    rows += [rows[120], rows[121], rows[2], (1000, "filler " * 200_000 + rows[140][1], "s")]
     items = [(1, rows[120][1]), (2, "nothing of this is there at all anywhere"), (3, None), (4, ""), (5, "two words"), (6, " ".join(rows[140][1].split()[2:40])), (6, "x y z q r s"), (None, rows[10][1])]
     d, b = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     want = []
@@ -123,12 +127,16 @@ def test_decontamination(spark):
         for i, text, _ in rows:
             if q and 100 * len(q & (shingles(text, k) if len(words(text)) >= k else set())) >= 80 * len(q):
                 want.append((i, item, len(q)))
-    for size in (16 << 20, 10):  # one block, and a block for each item
-        got = [(r["doc_id"], r["item_id"], r["n_shingles"]) for r in decontamination.contained_items(d, b, block_bytes=size).collect()]
+    clash = d.withColumns({c: F.lit("clash") for c in CLASHES})
+    for bits in (28, 16):  # hardly a hit by chance, and many
+        monkeypatch.setattr(decontamination, "MOST_BITS", bits)
+        got = [(r["doc_id"], r["item_id"], r["n_shingles"]) for r in decontamination.contained_items(clash, b.withColumn("n", F.lit("clash"))).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
-    left = decontamination.drop_contaminated(d.withColumn("h", F.lit(1)), b)
-    assert left.columns == ["doc_id", "text", "source", "h"]
-    assert {r["doc_id"] for r in left.collect()} == {i for i, *_ in rows} - {i for i, *_ in want}
+    for told in (1 << 22, 0):  # told to all tasks, and joined
+        monkeypatch.setattr(decontamination, "MOST_TOLD", told)
+        left = decontamination.drop_contaminated(clash, b)
+        assert left.columns == ["doc_id", "text", "source", *CLASHES]
+        assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((i for i, *_ in rows if i not in {x[0] for x in want}), key=str)
     assert decontamination.contained_items(d, b.limit(0)).count() == 0 and decontamination.contained_items(d.limit(0), b).count() == 0
 
 
