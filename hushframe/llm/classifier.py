@@ -2,73 +2,57 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, split_words, table, with_columns
+from .common import grams, packed, table, unpacked
+from .hashing import slices, word_hashes
 
 BITS = 18
-#: Bytes of a word to its shape: letters, digits and other bytes of letters fall together, marks stay.
-_SHAPE = bytes(
-    0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)
-)
-_RUNS = re.compile(rb"(.)\1+")
-
-
-class _Shapes(dict):
-    """Shape of a word: runs of like characters fall together, so of%%% and that*** are a% and a*."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = s = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:16]
-        return s
 
+def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, weight) of the hashed word n-grams of a batch of texts, in order of row and slot.
 
-class Features:
-    """Hashed word n-grams of a text as sorted slots and weights.
-
-    Unigrams and bigrams of lower-cased words, unigrams to trigrams of word shapes, and whether a word equals the one
-    before. The weight of a slot is the square root of its share of the text, so long texts weigh no more than short ones.
-    Texts without words have the constant slot alone.
+    Unigrams and bigrams of lower-cased words, unigrams to trigrams of word shapes (slots from 2 on), whether a word equals
+    the one before (slot 1), and a constant (slot 0). The weight of a slot is the square root of its share of the text, so
+    long texts weigh no more than short ones. Texts without words have the constant alone.
     """
-
-    def __init__(self, bits: int = BITS):
-        self.shift = np.uint64(64 - bits)
-        self.hashes, self.shapes = WordHashes(), _Shapes()
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        raw = split_words(text, lower=False)
-        if not raw:
-            return np.zeros(1, np.int32), np.ones(1, np.float32)
-        words = self.hashes.of([w.lower() for w in raw])
-        shapes = self.hashes.of(list(map(self.shapes.__getitem__, raw)))
-        again = np.count_nonzero(words[1:] == words[:-1])
-        views = [grams(words, 1), grams(words, 2), *[grams(shapes ^ np.uint64(0x5DEECE66D), k) for k in (1, 2, 3)]]
-        slots, counts = np.unique(np.concatenate(views) >> self.shift, return_counts=True)
-        weights = np.sqrt(counts / len(raw))
-        slots = np.concatenate([slots.astype(np.int64), [0, 1]])
-        return slots.astype(np.int32), np.concatenate([weights, [1.0, np.sqrt(again / len(raw))]]).astype(np.float32)
-
-
-def featurise(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataFrame:
-    """The other columns of docs with `slots` (int32) and `weights` (float32) as packed bytes; whole texts, a few rows at a time."""
-    others = [c for c in docs.columns if c != text]
-    schema = docs.select(*others).schema.add("slots", "binary").add("weights", "binary")
+    words, at = word_hashes(texts)
+    shapes, _ = word_hashes(texts, lower=False, shapes=True)
+    n = np.diff(at)
+    row_of = np.repeat(np.arange(len(n)), n)
+    keys = []
+    for h, k, salt in ((words, 1, 0), (words, 2, 0), *[(shapes, k, 0x5DEECE66D) for k in (1, 2, 3)]):
+        g = grams(h ^ np.uint64(salt), k)
+        inside = row_of[: len(g)] == row_of[k - 1 : k - 1 + len(g)]
+        slots = np.maximum(g[inside] >> np.uint64(64 - bits), np.uint64(2))
+        keys.append((row_of[: len(g)][inside].astype(np.uint64) << np.uint64(bits)) | slots)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (row_of[1:] == row_of[:-1]))
+    keys.append((row_of[again].astype(np.uint64) << np.uint64(bits)) | np.uint64(1))
+    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+    rows = (keys >> np.uint64(bits)).astype(np.int64)
+    weights = np.sqrt(counts / n[rows])
+    constant = np.arange(len(n))
+    order = np.argsort(np.concatenate([rows, constant]), kind="stable")
+    slots = np.concatenate([(keys & np.uint64((1 << bits) - 1)).astype(np.int32), np.zeros(len(n), np.int32)])
+    return np.concatenate([rows, constant])[order], slots[order], np.concatenate([weights, np.ones(len(n))])[order].astype(np.float32)
+
+
+def featurise(labelled: DataFrame, bits: int = BITS) -> DataFrame:
+    """(doc_id, y, slots, weights) of labelled (doc_id, y, text), slots (int32) and weights (float32) as packed bytes."""
 
     def run(batches):
-        f = Features(bits)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                made = [f.of(t) for t in part.column(text).to_pylist()]
-                yield with_columns(part, others, slots=pa.array([m[0].tobytes() for m in made], pa.binary()), weights=pa.array([m[1].tobytes() for m in made], pa.binary()))
+            for part in slices(b):
+                rows, slots, weights = features(part.column("text"), bits)
+                cuts = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
+                made = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (slots, weights)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *made], names=["doc_id", "y", "slots", "weights"])
 
-    return docs.select(*others, text).mapInArrow(run, schema)
+    return labelled.mapInArrow(run, labelled.select("doc_id", "y").schema.add("slots", "binary").add("weights", "binary"))
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS, epochs: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, seed: int = 7) -> np.ndarray:
@@ -106,49 +90,49 @@ def is_held_out(c: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", most_rows: int = 6000, bits: int = BITS) -> np.ndarray:
     """Model from at most `most_rows` labelled documents; that bound also bounds what reaches the driver.
 
-    The drawn ids (16 bytes each) are broadcast, so documents are filtered where they are read and texts never shuffle.
+    The drawn ids (16 bytes each) are broadcast, so documents are filtered where they are read and texts never shuffle. Rows
+    learn in an order that only their contents decide, so reruns agree.
     """
     drawn = F.broadcast(learning_rows(labels, is_held_out(), most_rows))
-    d = docs.select("doc_id", text).join(drawn, "doc_id")
-    rows = featurise(d.select("doc_id", "y", text), text, bits).collect()
-    rows.sort(key=lambda r: (r["doc_id"], len(r["slots"])))
+    d = docs.select("doc_id", F.col(text).alias("text")).join(drawn, "doc_id").select("doc_id", "y", "text")
+    rows = featurise(d, bits).collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["slots"]), bytes(r["weights"])))
     return ftrl([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows], bits)
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BITS) -> DataFrame:
-    """docs without the text, with `score`: the model's probability of label 1, from sparse dot products.
+    """docs with `score`: the model's probability of label 1, from sparse dot products.
 
-    Scores depend on the text alone. Null and empty texts get the constant's score; repeated rows the same score.
+    Scores depend on the text alone. Null and empty texts get the constant's score; repeated rows the same score; a column of
+    the name is replaced.
     """
-    others = [c for c in docs.columns if c not in (text, "score")]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    d = docs.select(packed(docs), F.col(text).alias("text"))
 
     def run(batches):
-        f, w = Features(bits), held.value
+        w = held.value
         for b in batches:
-            out = [1 / (1 + np.exp(-float(np.dot(w[i], x)))) for i, x in map(f.of, b.column(text).to_pylist())]
-            yield with_columns(b, others, score=pa.array(out, pa.float64()))
+            for part in slices(b):
+                rows, slots, weights = features(part.column("text"), bits)
+                total = np.bincount(rows, (w[slots] * weights).astype(np.float64), minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-total)), pa.float64())], names=["row", "score"])
 
-    return docs.select(*others, text).mapInArrow(run, docs.select(*others).schema.add("score", "double"))
+    return unpacked(docs, d.mapInArrow(run, d.select("row").schema.add("score", "double")), score=F.col("score"))
 
 
 def keep_good(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
     """The rows of docs whose score reaches the threshold, all columns as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        f, w = Features(bits), held.value
-        for b in batches:
-            good = [1 / (1 + np.exp(-float(np.dot(w[i], x)))) >= threshold for i, x in map(f.of, b.column(text).to_pylist())]
-            yield b.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    d = docs.select(packed(docs).alias("inner"), F.col(text).alias("text"))
+    good = score(d, model, "text", bits).where(F.col("score") >= threshold)
+    return good.select(*[F.col("inner").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3, **training) -> DataFrame:
-    """docs' other columns with `score` and `predicted` (1 where the score reaches the threshold)."""
-    d = score(docs, train(docs, labels, text, **training), text)
-    return d.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """docs' other columns with `score` and `predicted` (1 where the score reaches the threshold), which replace their like."""
+    others = docs.drop(text)
+    d = docs.select(packed(others).alias("inner"), F.col(text).alias("text"))
+    d = score(d, train(docs, labels, text, **training)).select(F.col("inner").alias("row"), "score")
+    return unpacked(others, d, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ _RNG = np.random.default_rng(20240229)
 _BYTES = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _FOLDED = _BYTES.copy()
 _FOLDED[0x41:0x5B] = _BYTES[0x61:0x7B]
+#: Bytes to their sign in a word's shape: A, a (bytes of other letters too), 0, or the byte itself.
+_SHAPE = np.array([0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)], np.uint8)
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
 _BASE = 0x9E3779B97F4A7C15
@@ -50,11 +52,13 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = True, shapes: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all rows, where each row's words begin and end in them).
 
-    Words lie between ASCII blanks, A-Z lower-cased if asked; null rows have none. The hash is a polynomial in the word's bytes
-    (by table, modulo 2**64) from differences of one running sum, then mixed.
+    Words lie between ASCII blanks, A-Z lower-cased if asked; null rows have none. With `shapes`, hashes are of the words'
+    shapes: upper-case, lower-case and digit bytes count as one sign each, other marks as themselves, and runs of a sign as
+    one, so of%%% and that*** are a% and a*. The hash is a polynomial in the word's bytes (by table, modulo 2**64) from
+    differences of one running sum, then mixed.
     """
     column = column.fill_null("") if column.null_count else column
     offsets = _offsets(column)
@@ -71,6 +75,14 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     starts[inner] = solid[inner]
     ends[inner - 1] = solid[inner - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    at = np.searchsorted(first, rows)
+    if shapes:
+        data = _SHAPE[data]
+        told = solid.copy()
+        told[1:] &= starts[1:] | (data[1:] != data[:-1])
+        before = np.concatenate([[0], np.cumsum(told)])
+        data, first, last = data[told], before[first], before[last]
+        n = len(data)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((_FOLDED if lower else _BYTES)[data] * _UP.upto(n))])
-    h = (sums[last] - sums[first]) * _DOWN.upto(n)[first]
-    return mix(h + (last - first).astype(np.uint64)), np.searchsorted(first, rows)
+    h = (sums[last] - sums[first]) * _DOWN.upto(max(n, 1))[first]
+    return mix(h + (last - first).astype(np.uint64)), at

@@ -1,6 +1,7 @@
 """Pair and passage operators, the classifier and the mix against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -243,7 +244,8 @@ def test_classifier_on_held_out_rows(spark):
     r = random.Random(5)
     good = lambda: " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat"]) + r.choice(["", "s"]) for _ in range(40))
     rows = [(i, good() if i % 3 else " ".join(w + "%%%" for w in good().split())) for i in range(400)] + [(400, None), (401, ""), (None, good())]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    rows += [rows[3], (500, "word " * 300_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "row", "inner", "slots", "y", "a.b")})
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, quality int")
     out = classifier.quality_classifier(d, labels).withColumn("held", classifier.is_held_out()).collect()
     assert len(out) == len(rows)
@@ -255,6 +257,50 @@ def test_classifier_on_held_out_rows(spark):
     assert classifier.quality_classifier(d.limit(0), labels.limit(0)).count() == 0
 
 
+def test_ftrl_against_the_plain_recurrence():
+    """Per-coordinate follow-the-regularised-leader, one number at a time."""
+    r = random.Random(4)
+    rows = []
+    for _ in range(60):
+        slots = sorted(r.sample(range(16), 5))
+        rows.append((np.array(slots, np.int32), np.array([r.random() for _ in slots], np.float32), float(3 in slots)))
+    alpha, beta, l1, l2 = 0.15, 1.0, 0.02, 0.5
+    z, n = [0.0] * 16, [0.0] * 16
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        for k in rng.permutation(len(rows)):
+            slots, xs, y = rows[k]
+            w = [weight(i) for i in slots]
+            p = 1 / (1 + np.exp(-sum(a * float(x) for a, x in zip(w, xs))))
+            for i, a, x in zip(slots, w, xs):
+                g = (p - y) * float(x)
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * a
+                n[i] += g * g
+    assert np.allclose(classifier.ftrl(rows, bits=4), [weight(i) for i in range(16)], atol=1e-5)
+
+
+def brute_features(text, bits):
+    raw = [w for w in (text or "").encode().split()]
+    sign = lambda b: "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b)
+    shapes = [re.sub(r"(.)\1+", r"\1", "".join(map(sign, w))) for w in raw]
+    return [w.lower() for w in raw], shapes
+
+
+def test_features_follow_words_and_shapes():
+    texts = ["The the of%%% that***", None, "", "a", "Éa x1 y22 z333 \n zz", "w " * 50]
+    rows, slots, weights = classifier.features(pa.array(texts))
+    for i, t in enumerate(texts):
+        words_, shapes = brute_features(t, 18)
+        views = [set(zip(*[x[k:] for k in range(m)])) for x, m in ((words_, 1), (words_, 2), (shapes, 1), (shapes, 2), (shapes, 3))]
+        again = sum(a == b for a, b in zip(words_, words_[1:]))
+        mine = rows == i
+        assert len(slots[mine]) == sum(map(len, views)) + 1 + (again > 0)
+        w = dict(zip(slots[mine].tolist(), weights[mine].tolist()))
+        assert w[0] == 1 and (not again or abs(w[1] - (again / len(words_)) ** 0.5) < 1e-6)
+        assert abs(sum(v * v for s, v in w.items() if s > 1) * max(1, len(words_)) - sum(max(0, len(words_) - k) for k in (0, 1, 0, 1, 2))) < 1e-3
+
+
 def test_water_fill():
     t = mixing.water_fill([100, 10, 100], [5, 2, 1])
     assert t[1] == 20 and abs(sum(t) - 315) < 1e-9 and t[0] == 200
