@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid, check) of every row, and (h, df) of frequent shingles.
 
     sid identifies a set; equal sets share it. With 63 bits, n distinct sets collide in n*n/2**64 pairs, as many as one at four
-    billion sets; `check` has further bits to tell. Counts of shingles come from all documents: a chunk of two million
+    billion sets; `check` has further bits, which similar_sets() compares, so a collision is an error and no link. Counts of shingles come from all documents: a chunk of two million
     shingles tells those that it holds four times.
     """
 
@@ -84,9 +84,8 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     return out.where("sid IS NOT NULL").select("doc_id", "n", "sid", "check"), frequent
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> DataFrame:
-    """(h, sid, n, hot): the prefix of each set, rare shingles first, each order by hash."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def _postings(docs: DataFrame, held, percent: int, k: int) -> DataFrame:
+    """(h, sid, n, hot): the prefix of each set, rare shingles first, each order by hash. held: the frequent ones, broadcast."""
 
     def run(batches):
         often, seen = held.value, {}
@@ -103,8 +102,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, k: int) -> Da
                         seen.clear()
                     seen[sid] = None
                     p = _prefix_length(len(s), percent)
-                    spot = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
-                    hot = often[spot] == s if len(often) else np.zeros(len(s), bool)
+                    hot = _hot(s, often)
                     order = np.concatenate([np.flatnonzero(~hot)[:p], np.flatnonzero(hot)[: max(0, p - int((~hot).sum()))]])
                     hs.append(s[order].view(np.int64))
                     hots.append(hot[order])
@@ -182,21 +180,30 @@ def _with_longs(pairs: DataFrame, longs: DataFrame) -> DataFrame:
     return d.withColumn("c", F.col("c") + F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0)))
 
 
-def _segments(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(sid, n, head, tail): the sets of the needed (doc_id, sid), cut into fragments of the order of hashes, the first one apart.
+def _hot(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which of a set's hashes are frequent."""
+    return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
+
+
+def _segments(docs: DataFrame, needed: DataFrame, often, k: int) -> DataFrame:
+    """(sid, n, head, tail): the sets of the needed (doc_id, sid), cut into FRAGMENTS of the order of shingles that also gives
+    the prefixes: ranges of the hashes of rare ones, the first of them apart, and the frequent ones last.
 
     Partitioned by sid once and written, so that later joins move pairs only. A repeated doc_id may repeat a row. A needed
     set without a doc_id is looked up by its sid among the rows that have none.
     """
 
     def run(batches):
+        frequent = often.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 rows = []
                 for _, s in _sets(b.slice(at, 500), k):
-                    cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
-                    first, *rest = np.split(s.view(np.int64), cuts)
-                    rows.append((_finger(s)[0], len(s), first, rest))
+                    hot = _hot(s, frequent)
+                    rare = s[~hot]
+                    bounds = np.array([(i << 64) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS - 1)], np.uint64)
+                    first, *rest = np.split(rare.view(np.int64), np.searchsorted(rare, bounds))
+                    rows.append((_finger(s)[0], len(s), first, [*rest, s[hot].view(np.int64)]))
                 cols = list(zip(*rows)) or [()] * 4
                 types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["sid", "n", "head", "tail"])
@@ -222,7 +229,7 @@ def _meet(pairs: DataFrame, segments: DataFrame, column: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) of the pairs whose summed partial overlaps reach the similarity.
+    """(a, b, shared) of the pairs whose partial overlaps, counted apart for each fragment of the order, sum to the similarity.
 
     The first fragment goes first; pairs that could not reach it even if all the rest were common end there.
     """
@@ -232,9 +239,11 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     enough = lambda shared: (100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))
     head = head.select("a", "b", c.alias("c"), (enough(reach)).alias("open"))
     open_ = cut(head.where("open").groupBy("a", "b").agg(F.max("c").alias("c")))
-    partial = F.zip_with("xa", "xb", lambda x, y: F.size(F.array_intersect(x, y)))
-    tail = _meet(open_, segments, "tail").withColumn("shared", F.aggregate(partial, F.col("c"), lambda total, x: total + x))
-    return tail.where(enough(F.col("shared"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    tail = _meet(open_, segments, "tail").select("a", "b", "c", "na", "nb", F.posexplode(F.arrays_zip("xa", "xb")).alias("fragment", "x"))
+    part = F.size(F.array_intersect("x.xa", "x.xb"))
+    # a set may be there twice, where a doc_id repeats: its fragments have equal counts
+    partial = tail.groupBy("a", "b", "c", "na", "nb", "fragment").agg(F.max(part).alias("part"))
+    return partial.groupBy("a", "b", "c", "na", "nb").agg((F.col("c") + F.sum("part")).alias("shared")).where(enough(F.col("shared"))).select("a", "b", "shared")
 
 
 def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -244,13 +253,14 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     one shingle; no words, no links). Equal sets are one. The order of shingles is by hash with frequent ones last; a set's
     prefix in it must meet the prefix of every similar set. Short posting lists give all their pairs of near sizes; pairs with
     too few common shingles in their prefixes end there. Of longer lists, pairs that components still separate count their common
-    shingles; sets of very long ones meet in blocks, where pairs make no rows. Overlaps of candidates are counted for each
+    shingles; sets of very long ones are compared with one set of each list, and those that are still apart meet in blocks, where
+    pairs make no rows. Overlaps of candidates are counted for each
     fragment of the order and summed. Links inside a component are not looked for; none between components is missed.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, frequent = signatures(d, k)
     top = frequent.orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
-    top = np.sort(top.view(np.uint64))
+    top = d.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)))
     postings = _postings(d, top, percent, k)
     hot = postings.where("hot").groupBy("h", "sid").agg(F.first("n").alias("n"))
     none = lambda t: F.lit(None).cast(t)
@@ -263,21 +273,29 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     sizes = cut(long.groupBy("h").agg(F.count("*").alias("size")))
     big = cut(long.join(sizes.where(F.col("size") > BIG), "h").groupBy("sid").agg(F.first("n").alias("n")))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    owners = rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi"), k)
+    one_set = F.assert_true(F.col("lo") == F.col("hi"), F.lit("two sets share a 63-bit identity"))
+    owners = rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")).where(one_set.isNull())
+    of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi").select("sid", "doc_id"), top, k)
     labels = cut(ends(near).unionByName(long.select("sid")).distinct().select(F.col("sid").alias("node"), F.col("sid").alias("component")))
     named = lambda df: df.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
 
     def join(links: DataFrame) -> DataFrame:
-        """Labels with one component where links (a, b) join several."""
-        new = components(cut(links))
+        """Labels with one component where links (a, b) between sets join several."""
+        tag = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        new = components(cut(links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
         to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
         return cut(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
     segments = of(ends(near).unionByName(big.select("sid")))
     labels = join(_verify(near, segments, percent).select("a", "b"))
-    # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG meet in blocks, in the
-    # others each pair that components still separate counts what it has in common
+    # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG are compared with one of
+    # each list, which gathers most, then meet in blocks; in the others each pair that components still separate counts what it
+    # has in common
+    crowded = cut(long.join(sizes.where(F.col("size") > BIG).select("h"), "h"))
+    for least in (True, False):
+        pairs = cut(_pivot_pairs(crowded, labels, percent, least))
+        if not pairs.isEmpty():
+            labels = join(_verify(pairs, segments, percent).select("a", "b"))
     labels = join(_block_links(cut(named(big)), segments, percent))
     apart = named(long.join(sizes.where(F.col("size") <= BIG), "h")).join(longs.select("sid", F.size("hs").alias("longs")), "sid")
     mixed = cut(apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h"))
@@ -290,92 +308,56 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     cross = cut(cross.where(enough).select("a", "b"))
     if not cross.isEmpty():
         links = _verify(cross, of(ends(cross)), percent)
-        tag = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        labels = join(links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        labels = join(links.select("a", "b"))
     return rows, labels.select(F.col("node").alias("sid"), "component")
 
 
-def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do; every pair is compared.
-
-    Sets go to size bands and inside them to hashed blocks of bounded shingles; a task holds two blocks of one band or of
-    neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the pairs.
-    """
-    banded = sets.withColumn("g", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
-    bands = {r["g"]: max(1, -(-r["k"] // BLOCK_SETS), -(-r["s"] // BLOCK_SHINGLES)) for r in banded.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()}
-    if not bands:
-        return sets.select(F.col("component").alias("a"), F.col("component").alias("b"))
-    width = F.create_map(*[F.lit(v) for g, k in bands.items() for v in (g, k)])
-    j, g = F.col("j"), F.col("g")
-    span = lambda band: F.when(width[band].isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), width[band] - 1))
-    key = lambda *x: F.concat_ws(":", *[v.cast("string") for v in x])
-    to = lambda k, side: F.struct(k.alias("key"), side.alias("side"))
-    own = F.transform(span(g), lambda o: to(key(F.lit("s"), g, F.least(j, o), F.greatest(j, o)), F.when(o == j, F.lit(2)).when(j < o, F.lit(0)).otherwise(F.lit(1))))
-    below = F.transform(span(g - 1), lambda o: to(key(F.lit("n"), g, j, o), F.lit(0)))
-    above = F.transform(span(g + 1), lambda o: to(key(F.lit("n"), g + 1, o, j), F.lit(1)))
-    whole = segments.select("sid", F.concat("head", F.flatten("tail")).alias("hashes"))
-    placed = banded.withColumn("j", F.pmod(F.xxhash64("sid"), width[g]).cast("int")).join(whole, "sid")
-    placed = placed.select("sid", "n", "component", "hashes", F.explode(F.concat(own, below, above)).alias("to")).select("sid", "n", "component", "hashes", "to.key", "to.side")
-
-    def run(key, table):
-        del key
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("sid", "n", "component", "side")]))
-        hashes = table.column("hashes").combine_chunks()
-        at, values = np.asarray(hashes.offsets), np.asarray(hashes.values)
-        sides = [[i for i, r in enumerate(rows) if r[3] in (s, 2)] for s in (0, 1)]
-        flat = []
-        for side in sides:
-            v = np.concatenate([values[at[i] : at[i + 1]] for i in side]) if side else np.empty(0, np.int64)
-            r = np.repeat(np.arange(len(side)), [at[i + 1] - at[i] for i in side])
-            order = np.argsort(v, kind="stable")
-            flat.append((v[order], r[order]))
-        (va, ra), (vb, rb) = flat
-        both = np.intersect1d(va, vb)
-        counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
-        bounds = [np.searchsorted(x, both, side=s) for x in (va, vb) for s in ("left", "right")]
-        for a0, a1, b0, b1 in zip(*[x.tolist() for x in bounds]):
-            counts[np.ix_(ra[a0:a1], rb[b0:b1])] += 1
-        n = [np.array([rows[i][1] for i in side], np.int64) for side in sides]
-        c = [np.array([rows[i][2] for i in side], np.int64) for side in sides]
-        names, where = np.unique(np.concatenate(c), return_inverse=True)
-        wa, wb = where[: len(c[0])], where[len(c[0]) :]
-        label = np.arange(len(names))
-        if counts.size:
-            linked = (100 + percent) * counts.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :])
-            while True:  # the least label of all that links reach
-                la, lb, new = label[wa], label[wb], label.copy()
-                np.minimum.at(new, wb, np.where(linked, la[:, None], len(names)).min(axis=0))
-                np.minimum.at(new, wa, np.where(linked, lb[None, :], len(names)).min(axis=1))
-                if (new == label).all():
-                    break
-                label = new
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        return pa.table({"a": names[moved], "b": names[label[moved]]})
-
-    return placed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+def _pivot_pairs(lists: DataFrame, labels: DataFrame, percent: int, least: bool) -> DataFrame:
+    """(a, b): in each list (h, sid, n), its least (or greatest) set with the others of near sizes in other components."""
+    named = lists.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
+    one = F.struct("sid", "n", "component")
+    pivot = named.groupBy("h").agg((F.min(one) if least else F.max(one)).alias("p"))
+    d = named.join(pivot, "h").where((F.col("p.component") != F.col("component")) & (100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n")))
+    return d.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
 
 def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do; every pair is compared.
+    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do.
 
-    Sets go to size bands and inside them to hashed blocks of bounded shingles; a task holds two blocks of one band or of
-    neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the pairs.
+    Sets go to size bands and inside them to blocks of bounded sets and shingles; a task holds two blocks of one band or of
+    neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the
+    pairs. A large component has blocks of its own, which meet those of all others but not one another, so a component that
+    holds nearly all sets of a band is moved as often as the rest has blocks, not as often as it has blocks itself.
     """
+    spark = sets.sparkSession
     banded = sets.withColumn("g", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
-    bands = {r["g"]: max(1, -(-r["k"] // BLOCK_SETS), -(-r["s"] // BLOCK_SHINGLES)) for r in banded.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()}
-    if not bands:
+    per = banded.groupBy("g", "component").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    large = (2 * F.col("k") > BLOCK_SETS) | (2 * F.col("s") > BLOCK_SHINGLES)
+    per = per.groupBy("g", F.when(large, F.col("component")).alias("owner")).agg(F.sum("k").alias("k"), F.sum("s").alias("s")).collect()
+    if not per:
         return sets.select(F.col("component").alias("a"), F.col("component").alias("b"))
-    width = F.create_map(*[F.lit(v) for g, k in bands.items() for v in (g, k)])
-    j, g = F.col("j"), F.col("g")
-    span = lambda band: F.when(width[band].isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), width[band] - 1))
-    key = lambda *x: F.concat_ws(":", *[v.cast("string") for v in x])
-    to = lambda k, side: F.struct(k.alias("key"), side.alias("side"))
-    own = F.transform(span(g), lambda o: to(key(F.lit("s"), g, F.least(j, o), F.greatest(j, o)), F.when(o == j, F.lit(2)).when(j < o, F.lit(0)).otherwise(F.lit(1))))
-    below = F.transform(span(g - 1), lambda o: to(key(F.lit("n"), g, j, o), F.lit(0)))
-    above = F.transform(span(g + 1), lambda o: to(key(F.lit("n"), g + 1, o, j), F.lit(1)))
+    # blocks of each band, numbered: those of the pool first, then of each large component
+    groups, blocks, used = [], [], {}
+    for r in sorted(per, key=lambda r: (r["g"], r["owner"] is not None, r["owner"] or 0)):
+        width, first = max(1, -(-r["k"] // BLOCK_SETS), -(-r["s"] // BLOCK_SHINGLES)), used.get(r["g"], 0)
+        groups.append((r["g"], r["owner"], first, width))
+        blocks += [(r["g"], first + j, r["owner"]) for j in range(width)]
+        used[r["g"]] = first + width
+    groups = spark.createDataFrame(groups, "g int, owner long, first int, width int")
+    x, y = (spark.createDataFrame(blocks, f"g{c} int, j{c} int, owner{c} long") for c in "xy")
+    meet = x.join(y, ((F.col("gx") == F.col("gy")) & (F.col("jx") <= F.col("jy"))) | (F.col("gx") + 1 == F.col("gy")))
+    meet = meet.where(F.col("ownerx").isNull() | F.col("ownery").isNull() | (F.col("ownerx") != F.col("ownery")))
+    same = (F.col("gx") == F.col("gy")) & (F.col("jx") == F.col("jy"))
+    end = lambda c, side: F.struct(F.col(f"g{c}").alias("g"), F.col(f"j{c}").alias("j"), side.alias("side"))
+    ends = F.when(same, F.array(end("x", F.lit(2)))).otherwise(F.array(end("x", F.lit(0)), end("y", F.lit(1))))
+    goes = meet.select(F.concat_ws(":", "gx", "jx", "gy", "jy").alias("key"), F.explode(ends).alias("to")).select("key", F.col("to.g").alias("to_g"), F.col("to.j").alias("to_j"), "to.side")
+    own = groups.where("owner IS NOT NULL").select(F.col("g").alias("own_g"), "owner", F.col("first").alias("own_first"), F.col("width").alias("own_width"))
+    pool = groups.where("owner IS NULL").select(F.col("g").alias("pool_g"), F.col("first").alias("pool_first"), F.col("width").alias("pool_width"))
+    placed = banded.join(own, (F.col("g") == F.col("own_g")) & (F.col("component") == F.col("owner")), "left").join(pool, F.col("g") == F.col("pool_g"), "left")
+    spot = F.coalesce("own_first", "pool_first") + F.pmod(F.xxhash64("sid"), F.coalesce("own_width", "pool_width")).cast("int")
     whole = segments.select("sid", F.concat("head", F.flatten("tail")).alias("hashes"))
-    placed = banded.withColumn("j", F.pmod(F.xxhash64("sid"), width[g]).cast("int")).join(whole, "sid")
-    placed = placed.select("sid", "n", "component", "hashes", F.explode(F.concat(own, below, above)).alias("to")).select("sid", "n", "component", "hashes", "to.key", "to.side")
+    placed = placed.select("sid", "n", "component", "g", spot.alias("j")).join(goes, (F.col("g") == F.col("to_g")) & (F.col("j") == F.col("to_j")))
+    placed = placed.join(whole, "sid").select("sid", "n", "component", "hashes", "key", "side")
 
     def run(key, table):
         del key
@@ -415,17 +397,6 @@ def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
     return placed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
 
 
-def _long_counts(lists: DataFrame) -> DataFrame:
-    return lists.where("b IS NULL").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("longs"))
-
-
-def _apart(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of long lists that hold more than one component, with their components."""
-    named = long.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
-    mixed = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    return named.join(cut(mixed), "h")
-
-
 def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): for each row, the size of its set and the least doc_id that links reach from it.
 

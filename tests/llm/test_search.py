@@ -82,6 +82,29 @@ def test_ngram_join_nulls_and_repeats(spark):
     assert ngram_join.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_join_of_a_template_with_many_fillings(spark, monkeypatch):
+    """Long lists of one template: a large class, what hangs on it by a chain, and sets that only share its frequent shingles."""
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
+    monkeypatch.setattr(ngram_join, "BIG", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    r = random.Random(8)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for _ in range(120):
+        w = base[:]
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(100)] = f"f{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    for j in range(4, 60, 4):  # a chain that leads away from the template
+        rows.append(" ".join([f"c{i}" for i in range(j)] + base[j:]))
+    rows += [" ".join(base[:50] + [f"o{r.randrange(10**6)}" for _ in range(50)]) for _ in range(60)]
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    rows = [(i, t, "s") for i, t in rows]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.classes(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(None, 3), (7, 7)]
