@@ -416,14 +416,58 @@ def test_mixing_of_overlapping_sources(spark):
         mixing.mix_sources(d, F.col("sources"), mixing.word_count(), lambda sizes: sizes, most_patterns=2)
 
 
-def test_pipeline_stages(spark, tmp_path):
+def brute_lines(rows):
+    """Texts by doc_id without the lines whose keys three documents hold, but for the largest."""
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in rows.items():
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                holders.setdefault(key(x), set()).add(i)
+    gone = lambda i, x: len(h := holders.get(key(x), ())) >= 3 and i != max(h)
+    return {i: "\n".join(x for x in (t or "").split("\n") if not gone(i, x)) for i, t in rows.items()}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage of the whole pipeline on a whole table against a plain version of what it keeps."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
-    docs = common.table(spark, sf, "documents")
-    n = docs.count()
+    docs = common.table(spark, sf, "documents").withColumns({c: F.lit("clash") for c in ("row", "rest", "taken", "n_dropped", "kept", "score", "tid", "component_id", "pattern")})
+    names = docs.columns
+    states = {}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        assert 0 < docs.count() <= n
-        n = docs.count()
-    assert "taken" in docs.columns
+        if name != "mix":
+            assert docs.columns == names
+        states[name] = {r["doc_id"]: r for r in docs.collect()}
+        assert states[name] and all(r["rest"] == r["row"] == "clash" for r in states[name].values())
+    texts = {n: {i: r["text"] for i, r in s.items()} for n, s in states.items()}
+    source = common.table(spark, sf, "documents")
+    model = classifier.train(source, common.table(spark, sf, "labels"))
+    assert set(texts["quality"]) == {r["doc_id"] for r in classifier.score(source, model).where("score >= 0.3").collect()}
+    assert texts["lines"] == brute_lines(texts["quality"])
+    assert all(r["n_chars"] == len(r["text"]) for i, r in states["lines"].items() if r["text"] != texts["quality"][i])
+    classes = brute_classes([(i, t, "s") for i, t in texts["lines"].items()])
+    assert set(texts["near_duplicates"]) == {i for i, (_, least) in classes.items() if i == least}
+    items = [shingles(r["text"]) for r in common.table(spark, sf, "benchmark").collect()]
+    hit = lambda t: any(q and 100 * len(q & shingles(t, min(5, len(next(iter(q)))))) >= 80 * len(q) for q in items)
+    assert texts["decontaminate"] == {i: t for i, t in texts["near_duplicates"].items() if not hit(t)}
+    sizes = {}
+    for r in states["decontaminate"].values():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for n, target in zip(order, mixing.by_weight()([sizes[n] for n in order])):
+        mixed = [r for r in states["mix"].values() if r["source"] == n]
+        longest = max(len(words(r["text"])) for r in states["decontaminate"].values() if r["source"] == n)
+        assert abs(sum(r["taken"] for r in mixed) - target) <= max(0.006 * target, longest / 2 + 1)
+        assert all(r["taken"] in (r["size"], 2 * r["size"]) and r["size"] == len(words(r["text"])) for r in mixed)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
