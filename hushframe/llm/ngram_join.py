@@ -345,7 +345,7 @@ def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         used[r["g"]] = first + width
     groups = spark.createDataFrame(groups, "g int, owner long, first int, width int")
     x, y = (spark.createDataFrame(blocks, f"g{c} int, j{c} int, owner{c} long") for c in "xy")
-    meet = x.join(y, ((F.col("gx") == F.col("gy")) & (F.col("jx") <= F.col("jy"))) | (F.col("gx") + 1 == F.col("gy")))
+    meet = x.join(y, F.col("gx") == F.col("gy")).where("jx <= jy").unionByName(x.join(y, F.col("gx") + 1 == F.col("gy")))
     meet = meet.where(F.col("ownerx").isNull() | F.col("ownery").isNull() | (F.col("ownerx") != F.col("ownery")))
     same = (F.col("gx") == F.col("gy")) & (F.col("jx") == F.col("jy"))
     end = lambda c, side: F.struct(F.col(f"g{c}").alias("g"), F.col(f"j{c}").alias("j"), side.alias("side"))
