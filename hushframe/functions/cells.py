@@ -226,13 +226,14 @@ def frequency_table(df: DataFrame, dims: list[str], value: str | None = None, ag
 
 
 def sample(df: DataFrame, fraction: float | None = None, size: int | None = None, strata: str | None = None, seed: int = 1) -> DataFrame:
-    """A seeded sample by the hash of whole rows: a share (of each stratum), or exactly `size` rows."""
+    """A seeded sample by the hash of whole rows: a share (of each stratum), or exactly `size` rows.
+
+    Partitioning never matters; equal rows go together. Rows of a null stratum are in none and left out.
+    """
     h = F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))
     if size is not None:
         return df.orderBy(h).limit(size)
     if strata is None:
         return df.where((h.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < fraction)
-    rows = [r[0] for r in df.select(strata).distinct().limit(10_001).collect()]
-    if len(rows) > 10_000:
-        return sample(df, fraction, seed=seed)
-    return df.sampleBy(strata, {v: fraction for v in rows if v is not None}, seed)
+    draw = F.xxhash64(h, F.col(strata)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    return df.where(F.col(strata).isNotNull() & (draw < fraction))

@@ -136,13 +136,16 @@ def category_ladder(df: DataFrame, column: str, groups: dict[str, list[str]] | N
         to = {m: g for g, members in groups.items() for m in members}
         second = lambda c: F.when(c.isNotNull(), F.when(c.isin(list(to)), remap(c, to)).otherwise(F.lit("Other")))
         return Ladder(column, "categorical", [lambda c: c, lambda c: remap(c, to), second, starred], ["value", "groups", "groups or Other", "*"])
+    if least_share < 1e-4:
+        raise ValueError("least_share must be at least 0.0001, as its frequent values become a list")
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n")).cache()
     facts = counts.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     top = top or max(3, min(10, math.isqrt(facts["k"])))
     least = max(1, int(facts["n"] * least_share))
     # at most 1 / least_share values reach their share; fewer rows than that leave every value frequent
-    often = [r["v"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "v").limit(10_000).collect()]
+    often = [r["v"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "v").collect()]
     best = [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(top).collect()]
+    counts.unpersist()
     keep = lambda values: lambda c: F.when(c.isNotNull(), F.when(c.cast("string").isin(values), c.cast("string")).otherwise(F.lit("Other")))
     return Ladder(column, "categorical", [lambda c: c, keep(often), keep(best), starred], ["value", "rare merged", f"top {top}", "*"])
 

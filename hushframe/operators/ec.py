@@ -31,6 +31,31 @@ def same_class(left: DataFrame, right: DataFrame, qis: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[q].eqNullSafe(right[q]) for q in qis])
 
 
+def checkpoints(df: DataFrame) -> None:
+    """Checkpoints go to the shared folder of spark.checkpoint.dir; to a temporary one where Spark runs in one process."""
+    import tempfile
+
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def with_class_size(df: DataFrame, columns: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """df with the size of each row's class (null is a value), rows or the sum of `weight`.
+
+    Sizes are aggregated and joined back, so a class that holds most rows spreads over tasks, as it would not in a window.
+    """
+    df = df.drop(name)
+    size = F.sum(weight) if weight else F.count("*")
+    sizes = df.groupBy(*columns).agg(size.alias(name)).select(*[F.col(c).alias(f"_ec_{i}") for i, c in enumerate(columns)], name)
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_ec_{i}")) for i, c in enumerate(columns)])
+    return df.join(sizes, on).select(*df.columns, name)
+
+
 def uniform(rid: Column, seed: int, salt: str) -> Column:
     """A draw in [0, 1) that depends on the row's identity, seed and salt alone, never on partitioning."""
     return F.xxhash64(rid, F.lit(seed), F.lit(salt)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))

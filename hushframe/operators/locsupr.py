@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ec import require
-from .kanon import _checkpoints, apply_plan
+from .ec import checkpoints, require, with_class_size
+from .kanon import apply_plan
 
 #: Most cells of one column and of all QIs that may be nulled.
 COLUMN_CAP, CELL_CAP = 0.60, 0.20
@@ -45,16 +44,15 @@ def suppress_locally(df: DataFrame, qis: list[str], k: int = 3, strategy: str =
     on the class table; rows are touched once at the end. Classes that still violate are reported.
     """
     require(df, qis)
-    _checkpoints(df)
+    checkpoints(df)
     order = priorities(df, qis, strategy, weights)
     now = [f"_now_{q}" for q in qis]
     t = df.groupBy(*qis).agg(F.count("*").alias("_n")).select(*qis, *[F.col(q).alias(n) for q, n in zip(qis, now)], "_n", F.lit(0).alias("_gone")).checkpoint()
     total = t.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     cells, rounds, bad = dict.fromkeys(qis, 0), 0, 0
-    window = W.partitionBy(*now)
     spent: set[str] = set()
     while rounds < len(qis) + 5:
-        sized = t.withColumn("_c", F.sum("_n").over(window))
+        sized = with_class_size(t, now, "_c", "_n")
         hit = F.col("_c") < k
         if most_per_record is not None:
             hit = hit & (F.col("_gone") < most_per_record)
@@ -73,7 +71,7 @@ def suppress_locally(df: DataFrame, qis: list[str], k: int = 3, strategy: str =
         rounds += 1
         if len(spent) == len(qis):
             spent = set()
-    bad = t.withColumn("_c", F.sum("_n").over(window)).agg(F.coalesce(F.sum(F.when(F.col("_c") < k, F.col("_n"))), F.lit(0))).first()[0]
+    bad = with_class_size(t, now, "_c", "_n").agg(F.coalesce(F.sum(F.when(F.col("_c") < k, F.col("_n"))), F.lit(0))).first()[0]
     return Suppressed(apply_plan(df, t, qis, now), cells, rounds, bad)
 
 

@@ -85,7 +85,7 @@ def noise(df: DataFrame, columns: list[str], rid: str, magnitude: float | dict[s
     """Adds noise of magnitude times the standard deviation (proportional: times the value) to numbers.
 
     kind: gaussian, laplace, uniform or proportional. Changes are capped at `cap` of the value's size; values that no cap met
-    are then shifted so that the mean holds; bounds and signs hold; whole-number columns stay whole. Columns without
+    are then shifted so that the mean holds, as far as their own caps allow; bounds and signs hold; whole-number columns stay whole. Columns without
     variance stay. Two aggregates in all, whatever the number of columns.
     """
     require(df, [*columns, rid])
@@ -121,6 +121,8 @@ def noise(df: DataFrame, columns: list[str], rid: str, magnitude: float | dict[s
     if keep_mean:
         r = moved.agg(*[(F.sum(f"_d_{c}") / F.sum(F.when(~F.col(f"_m_{c}") & F.col(c).isNotNull(), 1.0))).alias(c) for c in used]).first()
         moved = moved.withColumns({f"_d_{c}": F.when(~F.col(f"_m_{c}"), F.col(f"_d_{c}") - F.lit(r[c] or 0.0)).otherwise(F.col(f"_d_{c}")) for c in used})
+        if cap is not None:  # the shift may not carry a value over its cap
+            moved = moved.withColumns({f"_d_{c}": F.greatest(F.least(F.col(f"_d_{c}"), limit(c)), -limit(c)) for c in used})
     out = {}
     for c in used:
         x = F.col(c).cast("double")

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ec import require
+from .ec import require, with_class_size
 
 
 def _small(df: DataFrame, qis: list[str], threshold: int | None) -> DataFrame:
     """Rows without a null QI, with their class size `_n`, of classes of at most `threshold` rows."""
-    d = df.na.drop(subset=qis).withColumn("_n", F.count("*").over(W.partitionBy(*qis)))
+    d = with_class_size(df.na.drop(subset=qis), qis, "_n")
     return d if threshold is None else d.where(F.col("_n") <= threshold)
 
 
@@ -87,23 +86,17 @@ def t_closeness_numeric(df: DataFrame, qis: list[str], sensitive: str, threshold
     return steps.select(*qis, emd(F.col("s"), F.col("_n")).alias("t"))
 
 
-#: Most distinct values whose distribution function is broadcast as it is (16 MB); more are merged by rank.
+#: Most distinct values whose distribution function is broadcast (16 MB); a column with more must be rounded first.
 MOST_VALUES = 1_000_000
 
 
 def _grid(values: DataFrame, total: int):
-    """The table's distribution function as two arrays of at most MOST_VALUES entries.
-
-    With more distinct values, those that share one of MOST_VALUES equal steps of the range meet at their greatest, which moves
-    each by less than a millionth of the range, and so the distance too.
-    """
+    """The table's distribution function as two arrays of at most MOST_VALUES entries; more values raise an error."""
     import numpy as np
 
     n = values.count()
     if n > MOST_VALUES:
-        b = values.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-        step = F.floor((F.col("_x") - b["lo"]) / ((b["hi"] - b["lo"]) / (MOST_VALUES - 1)))
-        values = values.groupBy(step.alias("s")).agg(F.max("_x").alias("_x"), F.sum("g").alias("g")).drop("s")
+        raise ValueError(f"{n} distinct values, but at most {MOST_VALUES} can be compared exactly: round the column first")
     rows = values.toPandas().sort_values("_x")
     return rows["_x"].to_numpy(float), np.cumsum(rows["g"].to_numpy(float)) / total
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ec import ec_sizes, require
+from .ec import ec_sizes, require, with_class_size
 
 HIGH_RISK = 0.2
 
 
 def record_risk(df: DataFrame, qis: list[str], name: str = "risk") -> DataFrame:
-    """df without rows that have a null QI, with each row's risk 1/|class|."""
+    """df without rows that have a null QI, with each row's risk 1/|class|. Class sizes are joined, so no class is one task."""
     require(df, qis)
-    return df.na.drop(subset=qis).withColumn(name, F.lit(1.0) / F.count("*").over(W.partitionBy(*qis)))
+    return with_class_size(df.na.drop(subset=qis), qis, name).withColumn(name, F.lit(1.0) / F.col(name))
 
 
 def reid(df: DataFrame, qis: list[str], quantiles=(0.5, 0.95, 0.99), high: float = HIGH_RISK) -> DataFrame:

@@ -178,10 +178,11 @@ def composite(original: DataFrame, protected: DataFrame, key: str, numeric: list
     cols = [*numeric, *categorical]
     pairs = paired(original, protected, key, cols).cache()
     out = {"information_loss": min(1.0, il1s(pairs, numeric, categorical).first()[0] or 0.0), "records_suppressed": suppression(pairs, cols).first()["records_suppressed"] or 0.0}
+    pairs.unpersist()
     out["correlation"] = 1 - (correlation_difference(original, protected, numeric).first()[0] if len(numeric) > 1 else 0.0)
     shifts = [min(1.0, r["mean_shift"]) for r in moments(original, protected, numeric).collect()] if numeric else []
     out["mean"] = 1 - sum(shifts) / len(shifts) if shifts else 1.0
-    far = [divergence(original, protected, c, 10).first()["hellinger"] or 0.0 for c in cols[:5]]
+    far = [divergence(original, protected, c, 10).first()["hellinger"] or 0.0 for c in cols]
     out["distribution"] = 1 - sum(far) / len(far) if far else 1.0
     n, m = original.count(), protected.count()
     out["rows"] = m / n if n else 1.0
@@ -207,7 +208,7 @@ def overall(sensitive: float | None, qi: float | None, relation: float | None =
 def ml_utility(original: DataFrame, protected: DataFrame, features: list[str], label: str, folds: int = 3, seed: int = 1) -> dict[str, float]:
     """Cross-validated accuracy of a logistic regression on both tables and its ratio; 2 to 10 classes and 30 rows needed.
 
-    Numbers are imputed by their median, categories one-hot encoded with null as one of them; folds alternate within classes.
+    Numbers are imputed by their median, categories one-hot encoded with null as one of them; a row's fold follows the hash of its values.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
