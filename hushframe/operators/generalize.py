@@ -128,3 +128,24 @@ def suggest(df: DataFrame, qis: list[str], k: int = 5) -> dict[str, int]:
     return {c: v for c, v in out.items() if v < card[c]}
 
 
+
+
+def candidates(most: int, cardinality: int, treatment: str = "standard") -> list[int]:
+    """Three numbers of bins to try around `most`, gentlest (most bins) first; heavy and light treatment shift them.
+
+    Fixed values: standard halves and adds a half; heavy goes down to a third, light up to the double, never over the cardinality.
+    """
+    wide, wider = min(cardinality, int(most * 1.5)), min(cardinality, most * 2)
+    tries = {"heavy": [max(2, most // 3), max(2, most // 2), most], "standard": [max(3, most // 2), most, wide], "light": [most, wide, wider]}[treatment]
+    return sorted({c for c in tries if c >= 2}, reverse=True)
+
+
+def generalize_adaptively(df: DataFrame, column: str, most: int, passes, treatment: str = "standard") -> tuple[DataFrame, int]:
+    """(df, bins) with the gentlest candidate whose result `passes`; the coarsest where none does."""
+    known = df.agg(F.count_distinct(column)).first()[0]
+    tries = candidates(most, known, treatment)
+    for bins in tries:
+        out = df.withColumn(column, numeric_bins(F.col(column), equal_width(*[float(x) for x in df.agg(F.min(column), F.max(column)).first()], bins))) if known > bins else df
+        if passes(out):
+            return out, bins
+    return out, tries[-1]

@@ -169,6 +169,73 @@ def midpoint(c: Column) -> Column:
     return F.coalesce(ranged, F.regexp_replace(c, r"[<>=+]", "").try_cast("double"))
 
 
+def tabular(original: DataFrame, protected: DataFrame, dims: list[str]) -> DataFrame:
+    """One row for a frequency table: suppression_rate, mean_abs_deviation, relative_deviation, sum_preserved, information_loss
+    and utility_score over the cells of the rows that both tables hold; a null cell is suppressed.
+
+    Fixed values: losses weigh .4, .3 and .3.
+    """
+    cells = [c for c in original.columns if c not in dims and c in protected.columns]
+    stacked = lambda d, n: d.select(*dims, F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(c).cast("string").try_cast("double").alias(n)) for c in cells])).alias("x")).select(*dims, "x.*")
+    o, p = F.col("o"), F.col("p")
+    both = stacked(original, "o").join(stacked(protected, "p"), [*dims, "cell"]).select("o", "p", F.when(p.isNotNull(), o).alias("k"))
+    r = both.agg(F.count("*").alias("n"), F.count("p").alias("m"), F.avg(F.when(p.isNotNull(), F.abs(o - p))).alias("mad"), F.avg(F.abs("k")).alias("size"), F.sum("k").alias("so"), F.sum("p").alias("sp"))
+    zero = F.lit(0.0)
+    r = r.select(
+        F.when(F.col("n") > 0, 1 - F.col("m") / F.col("n")).otherwise(F.lit(1.0)).alias("suppression_rate"), F.coalesce("mad", zero).alias("mean_abs_deviation"),
+        F.when(F.col("size") > 0, F.col("mad") / F.col("size")).otherwise(zero).alias("relative_deviation"),
+        F.when(F.col("m") == 0, zero).when(F.col("so") > 0, F.least(F.col("sp") / F.col("so"), F.lit(1.0))).otherwise((F.col("sp") == 0).cast("double")).alias("sum_preserved"),
+    )
+    loss = 0.4 * F.col("suppression_rate") + 0.3 * F.least(F.col("relative_deviation"), F.lit(1.0)) + 0.3 * (1 - F.col("sum_preserved"))
+    return r.select("*", loss.alias("information_loss"), F.greatest(1 - loss, zero).alias("utility_score"))
+
+
+def relation_kept(original: DataFrame, protected: DataFrame, qi: str, sensitive: list[str]) -> float:
+    """How much of a QI's relation to the sensitive columns is left: ratios of eta squared or Cramér's V, at most 1, averaged.
+
+    Relations that were next to none (eta squared to .01, V to .03; fixed values) count as kept.
+    """
+    kept = []
+    for s in sensitive:
+        measure, least = (lambda d, s=s: eta_squared(d, qi, s), 0.01) if is_number(original, s) else (lambda d, s=s: cramers_v(d, s, qi), 0.03)
+        was, left = measure(original).first()[0] or 0.0, measure(protected).first()[0] or 0.0
+        kept.append(min(1.0, left / was) if was > least else 1.0)
+    return sum(kept) / len(kept) if kept else 1.0
+
+
+def cross_tabs(original: DataFrame, protected: DataFrame, sensitive: list[str], qis: list[str]) -> DataFrame:
+    """(sensitive, qi, preservation): how far group figures hold, for each pair.
+
+    Numbers: 1 - the mean relative change of the group means (at most 1 a group) over groups of both tables; categories: the
+    group preservation of distributions.
+    """
+    parts = []
+    for s in sensitive:
+        for q in qis:
+            if is_number(original, s):
+                side = lambda d, n: d.where(F.col(q).isNotNull() & F.col(s).isNotNull()).groupBy(F.col(q).cast("string").alias("g")).agg(F.avg(F.col(s).cast("double")).alias(n))  # noqa: B023, E731
+                both = side(original, "a").join(side(protected, "b"), "g")
+                change = F.when(F.col("a") != 0, F.least(F.abs(F.col("b") - F.col("a")) / F.abs("a"), F.lit(1.0))).otherwise((F.col("b") != 0).cast("double"))
+                one = both.agg((1 - F.avg(change)).alias("preservation"))
+            else:
+                one = group_preservation(original, protected, q, s)
+            parts.append(one.select(F.lit(s).alias("sensitive"), F.lit(q).alias("qi"), "preservation"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_tab_gate(tabs: DataFrame, least: float = 0.60) -> DataFrame:
+    """One row: mean preservation, the worst pair, pairs looked at, and whether relations are degraded (mean under `least`)."""
+    worst = F.min(F.struct("preservation", "sensitive", "qi"))
+    r = tabs.where(F.col("preservation").isNotNull()).agg(F.avg("preservation").alias("mean_preservation"), worst.alias("w"), F.count("*").alias("n_pairs"))
+    return r.select("mean_preservation", F.col("w.sensitive").alias("worst_sensitive"), F.col("w.qi").alias("worst_qi"), F.col("w.preservation").alias("worst_preservation"), "n_pairs", F.coalesce(F.col("mean_preservation") < least, F.lit(False)).alias("degraded"))
+
+
+def blended(sensitive: float, qis: list[float]) -> float:
+    """Utility of a preparation: the QIs' mean alone where sensitive columns are hardly touched (.95), else half and half."""
+    mean = sum(map(abs, qis)) / len(qis) if qis else 1.0
+    return mean if sensitive >= 0.95 else 0.5 * sensitive + 0.5 * mean
+
+
 #: Weights of the composite score.
 COMPOSITE = {"information_loss": -0.25, "correlation": 0.15, "mean": 0.20, "distribution": 0.15, "records_suppressed": -0.15, "rows": 0.10}
 

@@ -99,6 +99,7 @@ def k_of(k: int, strategy: str = "hybrid"):
     return lambda f: kanon(f, k, strategy)
 
 
+#: Rule names, conditions and parameters, in the order in which they are tried.
 TABLE: list[Rule] = [
     Rule(lambda f: f.tier == "PUBLIC" and f.target == 0.03 and f.r95 > 0.15, plain("REG1_Regulatory_High_Risk", k_of(7), k_of(10, "generalization"))),
     Rule(lambda f: f.tier == "PUBLIC" and f.target == 0.03 and f.r95 > 0.03, plain("REG1_Regulatory_Moderate_Risk", k_of(5), k_of(7))),
@@ -172,17 +173,34 @@ def balance(choice: Choice, heavy: float = 0.0, light: float = 0.0) -> Choice:
     return choice
 
 
-def select(f: Features, known_risk: bool = True) -> Choice:
-    """The choice for a table: pipelines first, then the table in order; an emergency kANON if the metric allows none."""
+def prefer(choice: Choice, method: str | None) -> Choice:
+    """The choice with a preferred method first, where it is one of its fallbacks; what it replaces becomes a fallback."""
+    at = next((i for i, (m, _) in enumerate(choice.fallbacks) if m == method), None)
+    if at is None or choice.method == method or choice.pipeline:
+        return choice
+    name, parameters = choice.fallbacks[at]
+    rest = [(choice.method, choice.parameters), *choice.fallbacks[:at], *choice.fallbacks[at + 1 :]]
+    return Choice(choice.rule, name, parameters, rest, [], [*choice.trace, f"preferred:{method}"])
+
+
+def select(f: Features, known_risk: bool = True, preferred: str | None = None) -> Choice:
+    """The choice for a table: pipelines first, then the table in order; an emergency kANON if the metric allows none.
+
+    The trace names every rule that held, in order, also those whose method the metric does not allow. `preferred` moves a
+    method forward where the chosen rule lists it as a fallback.
+    """
     allowed, trace = ALLOWED[f.metric], []
     found = pipelines(f)
-    if found and all(m in allowed for m, _ in found.pipeline):
-        return found
+    if found:
+        trace.append(found.rule)
+        if all(m in allowed for m, _ in found.pipeline):
+            found.trace = trace
+            return found
     for rule in TABLE if known_risk else [*WITHOUT_RISK, TABLE[-1]]:
         if rule.when(f):
             choice = rule.then(f)
             trace.append(choice.rule)
             if choice.method in allowed:
                 choice.trace = trace
-                return choice
+                return prefer(choice, preferred if preferred in allowed else None)
     return Choice("EMERGENCY_kANON", *kanon(f, 5), trace=trace)

@@ -212,3 +212,11 @@ def _(read):
     d = read("customer")
     found = [(c, x.kind, x.height) for c in d.columns if (x := hierarchy.auto_ladder(d, c))]
     return d.sparkSession.createDataFrame(found, "column string, kind string, height long")
+
+
+@query("gen6_adaptive", """WITH s AS (SELECT min(p_size) AS lo, max(p_size) AS hi, count(DISTINCT p_size) AS k FROM part), c AS (SELECT unnest([5, 10, least(k, 15)]) AS n FROM s)
+SELECT n::BIGINT AS candidate, rank() OVER (ORDER BY n DESC) AS tried FROM c""")
+def _(read):
+    d = read("part")
+    k = d.agg(F.count_distinct("p_size")).first()[0]
+    return d.sparkSession.createDataFrame([(n, i + 1) for i, n in enumerate(generalize.candidates(10, k))], "candidate long, tried long")

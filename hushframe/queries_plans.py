@@ -23,7 +23,7 @@ def _(read):
     return r6(detect.pattern_rates(words(read), ["w"], keep))
 
 
-@query("cls1_direct_identifiers")
+@query("cls1_direct_identifiers", """SELECT column_name AS "column", 'name' AS kind FROM (DESCRIBE customer) WHERE column_name LIKE '%name'""")
 def _(read):
     d = read("customer")
     return d.sparkSession.createDataFrame(sorted(detect.direct_identifiers(d).items()), "column string, kind string")
@@ -58,9 +58,10 @@ def _(read):
     return detect.dependencies(d, ["n_nationkey", "n_regionkey", "r_name"])
 
 
-@query("cls12_correlated")
+@query("cls12_correlated", """WITH c AS (SELECT corr(p_size, p_retailprice) AS x, corr(p_retailprice, 2 * p_retailprice) AS y FROM part)
+SELECT * FROM (SELECT 'p_size' AS a, 'p_retailprice' AS b, round(x, 6) AS r FROM c UNION ALL SELECT 'p_size', 'double_price', round(x, 6) FROM c UNION ALL SELECT 'p_retailprice', 'double_price', round(y, 6) FROM c) WHERE abs(r) > 0.95""")
 def _(read):
-    return detect.correlated(read("part").withColumn("double_price", F.col("p_retailprice") * 2), ["p_size", "p_retailprice", "double_price"])
+    return r6(detect.correlated(read("part").withColumn("double_price", F.col("p_retailprice") * 2), ["p_size", "p_retailprice", "double_price"]))
 
 
 @query("cls14_sequential", "SELECT 'o_orderkey' AS \"column\", count(DISTINCT o_orderkey) = count(*) AND count(*) / (max(o_orderkey) - min(o_orderkey) + 1) >= 0.8 AS is_sequential FROM orders")
@@ -69,7 +70,8 @@ def _(read):
     return d.sparkSession.createDataFrame([("o_orderkey", detect.is_sequential(d, "o_orderkey"))], "column string, is_sequential boolean")
 
 
-@query("cls13_frequency_table")
+@query("cls13_frequency_table", """SELECT (SELECT bool_and(a < 10000 AND b < 10000 AND c < 10000) FROM (SELECT count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b, count(*) FILTER (o_orderstatus = 'P') AS c FROM orders GROUP BY o_orderpriority)) AS "table",
+(SELECT bool_and(p_partkey < 10000 AND p_size < 10000 AND p_retailprice = floor(p_retailprice) AND p_retailprice BETWEEN 0 AND 9999.99) FROM part) AS part""")
 def _(read):
     from .functions.cells import frequency_table
 
@@ -91,11 +93,28 @@ def _(read):
     return read("customer").select("c_custkey", io.european(text).alias("bal"))
 
 
-@query("agg19_features")
+@query("agg19_features", """WITH e AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT quantile_cont(1.0 / n, 0.95) AS r FROM (SELECT count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part)),
+t AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT p_brand) * count(DISTINCT p_type) * count(DISTINCT p_size) AS space, count(DISTINCT p_size) AS sizes FROM part)
+SELECT 'n' AS feature, n AS value FROM t UNION ALL SELECT 'reid_95', round(r, 6) FROM r UNION ALL SELECT 'expected_size', round(n / space, 6) FROM t UNION ALL SELECT 'high_rate', round(coalesce(sum(n) FILTER (n < 5), 0) / sum(n), 6) FROM e
+UNION ALL SELECT 'uniqueness', round(count(*) / sum(n), 6) FROM e UNION ALL SELECT 'cat_ratio', round((2 + (sizes <= 20)::INT) / 3, 6) FROM t
+""" + "".join(f"UNION ALL SELECT 'suppression_{k}', round(coalesce(sum(n) FILTER (n < {k}), 0) / sum(n), 6) FROM e " for k in (3, 5, 7, 10)))
 def _(read):
     f = features(read("part"), ["p_brand", "p_type", "p_size"], ["p_retailprice"])
     rows = [("n", float(f.n)), ("reid_95", f.r95), ("expected_size", f.expected_size), ("high_rate", f.high_rate), ("uniqueness", f.uniqueness), ("cat_ratio", f.cat_ratio), *[(f"suppression_{k}", v) for k, v in f.suppression.items()]]
-    return read("part").sparkSession.createDataFrame([(a, float(b)) for a, b in rows], "feature string, value double")
+    return r6(read("part").sparkSession.createDataFrame([(a, float(b)) for a, b in rows], "feature string, value double"))
+
+
+@query("pre9_preparation_report", """WITH a AS (SELECT p_brand AS b, p_size AS s FROM part), c AS (SELECT left(p_brand, 7) AS b, p_size // 10 AS s FROM part),
+f AS (SELECT 'rows' AS figure, (SELECT count(*) FROM a)::DOUBLE AS before, (SELECT count(*) FROM c)::DOUBLE AS after
+UNION ALL SELECT 'values_p_brand', (SELECT count(DISTINCT b) FROM a), (SELECT count(DISTINCT b) FROM c) UNION ALL SELECT 'values_p_size', (SELECT count(DISTINCT s) FROM a), (SELECT count(DISTINCT s) FROM c)
+UNION ALL SELECT 'expected_size', (SELECT count(*) / (count(DISTINCT b) * count(DISTINCT s)) FROM a), (SELECT count(*) / (count(DISTINCT b) * count(DISTINCT s)) FROM c)
+UNION ALL SELECT 'reid_95', (SELECT quantile_cont(1.0 / n, 0.95) FROM (SELECT count(*) OVER (PARTITION BY b, s) AS n FROM a)), (SELECT quantile_cont(1.0 / n, 0.95) FROM (SELECT count(*) OVER (PARTITION BY b, s) AS n FROM c)))
+SELECT figure, round(before, 6) AS before, round(after, 6) AS after FROM f""")
+def _(read):
+    from .plans.review import preparation_report
+
+    d = read("part")
+    return r6(preparation_report(d, d.withColumns({"p_brand": F.substring("p_brand", 1, 7), "p_size": F.floor(F.col("p_size") / 10)}), ["p_brand", "p_size"]))
 
 
 @query("sel1_rule")

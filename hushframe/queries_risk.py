@@ -110,17 +110,59 @@ def _(read):
     return r6(risk.importance(orders(read), OR))
 
 
-@query("agg11_backward_elimination")
+def _subsets():
+    """SQL of (mask, r): the 95 % risk quantile of every non-empty set of LI, a bit a column."""
+    one = lambda m: f"SELECT {m} AS mask, quantile_cont(1.0 / n, 0.95) AS r FROM (SELECT count(*) OVER (PARTITION BY {', '.join(c for i, c in enumerate(LI) if m >> i & 1)}) AS n FROM lineitem)"
+    return " UNION ALL ".join(one(m) for m in range(1, 1 << len(LI)))
+
+
+_LEFT = "SELECT v.qi, {m} - v.bit AS mask, s.r AS r FROM v, s{more} WHERE {m} & v.bit > 0 AND s.mask = {m} - v.bit ORDER BY round(s.r, 12), v.qi LIMIT 1"
+
+
+@query("agg11_backward_elimination", f"""WITH s AS ({_subsets()}), v AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {1 << i})" for i, c in enumerate(LI))}) t(qi, bit)),
+a AS ({_LEFT.format(m=15, more="")}), b AS ({_LEFT.format(m="a.mask", more=", a")}), c AS ({_LEFT.format(m="b.mask", more=", b")})
+SELECT qi, round(r, 6) AS reid_left FROM a UNION ALL SELECT qi, round(r, 6) FROM b UNION ALL SELECT qi, round(r, 6) FROM c""")
 def _(read):
     steps = risk.backward_elimination(read("lineitem"), LI)
-    return read("region").sparkSession.createDataFrame(steps, "qi string, reid_left double")
+    return r6(read("region").sparkSession.createDataFrame(steps, "qi string, reid_left double"))
 
 
-@query("agg9_metrics")
+@query("agg9_metrics", """WITH e AS (SELECT p_type, p_size, count(*) AS n, count(DISTINCT p_brand) AS l FROM part GROUP BY ALL),
+r AS (SELECT quantile_cont(1.0 / n, 0.95) AS r FROM (SELECT count(*) OVER (PARTITION BY p_type, p_size) AS n FROM part)), t AS (SELECT min(n) AS k, count(*) FILTER (n = 1) / sum(n) AS u, min(l) AS l FROM e)
+SELECT 'reid95' AS metric, round(r, 6) AS raw, round(r, 6) AS normalized, r <= 0.05 AS meets FROM r UNION ALL SELECT 'k_anonymity', k, round(1 / k, 6), k >= 5 FROM t
+UNION ALL SELECT 'uniqueness', round(u, 6), round(u, 6), u <= 0.05 FROM t UNION ALL SELECT 'l_diversity', l, round(1 / l, 6), l >= 2 FROM t""")
 def _(read):
     d = read("part")
     rows = [(a.metric, float(a.raw), float(a.normalized), a.meets) for a in (risk.assess(d, ["p_type", "p_size"], m, t, "p_brand") for m, t in (("reid95", 0.05), ("k_anonymity", 5), ("uniqueness", 0.05), ("l_diversity", 2)))]
-    return d.sparkSession.createDataFrame(rows, "metric string, raw double, normalized double, meets boolean")
+    return r6(d.sparkSession.createDataFrame(rows, "metric string, raw double, normalized double, meets boolean"))
+
+
+@query("agg10_as_quantiles", """WITH u AS (SELECT count(*) FILTER (n = 1) / sum(n) AS u FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type, p_size))
+SELECT 'reid_50' AS figure, round(u * 0.5, 6) AS value FROM u UNION ALL SELECT 'reid_90', round(u * 0.8, 6) FROM u UNION ALL SELECT 'reid_95', round(u, 6) FROM u UNION ALL SELECT 'reid_99', round(least(1, u * 1.2), 6) FROM u
+UNION ALL SELECT 'mean_risk', round(u * 0.6, 6) FROM u UNION ALL SELECT 'max_risk', round(least(1, u * 1.5), 6) FROM u UNION ALL SELECT 'high_rate', round(CASE WHEN u > 0.2 THEN u * 0.5 ELSE 0 END, 6) FROM u""")
+def _(read):
+    from .plans.review import as_quantiles
+
+    d = read("part")
+    a = risk.assess(d, ["p_brand", "p_type", "p_size"], "uniqueness", 0.05)
+    return r6(d.sparkSession.createDataFrame([(k, float(v)) for k, v in as_quantiles(a).items()], "figure string, value double"))
+
+
+_COLUMNS = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "category"), ("o_totalprice", "numeric"), ("o_orderdate", "date"), ("o_orderpriority", "category")]
+
+
+@query("agg20_data_summary", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS kind, count(*) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, {f"min({c})::DOUBLE" if k == "numeric" else "NULL::DOUBLE"} AS low, {f"max({c})::DOUBLE" if k == "numeric" else "NULL::DOUBLE"} AS high FROM orders""" for c, k in _COLUMNS))
+def _(read):
+    from .plans.review import summary
+
+    return summary(read("orders").select(*[c for c, _ in _COLUMNS]))
+
+
+@query("cls15_variable_roles", " UNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN '{k}' = 'date' THEN 'date' WHEN count(DISTINCT {c}) = count({c}) AND count(DISTINCT {c}) > 50 THEN 'identifier' WHEN '{k}' = 'numeric' AND count(DISTINCT {c}) > 20 THEN 'continuous' WHEN count(DISTINCT {c}) <= 50 THEN 'categorical' ELSE 'other' END AS role FROM orders""" for c, k in _COLUMNS))
+def _(read):
+    from .plans.review import variable_roles
+
+    return variable_roles(read("orders").select(*[c for c, _ in _COLUMNS]))
 
 
 PT = "p_type, p_size"
@@ -159,7 +201,8 @@ def _(read):
     return r6(privacy.t_closeness_numeric(read("part"), ["p_brand", "p_type"], "p_size"))
 
 
-@query("agg16_gates")
+@query("agg16_gates", """WITH w AS (SELECT p_brand, count(*) / (SELECT count(*) FROM part) AS q FROM part GROUP BY 1), g AS (SELECT p_type, p_brand, count(*) AS c FROM part GROUP BY p_type, p_brand), c AS (SELECT *, sum(c) OVER (PARTITION BY p_type) AS n FROM g),
+t AS (SELECT p_type, sum(greatest(c / n - q, 0)) AS t, count(*) AS l FROM c JOIN w USING (p_brand) GROUP BY 1) SELECT 'l' AS gate, min(l) >= 2 AS holds FROM t UNION ALL SELECT 't', max(t) <= 0.3 FROM t""")
 def _(read):
     d = read("part")
     g = privacy.gates(d, ["p_type"], "p_brand", 2, 0.3)

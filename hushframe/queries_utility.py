@@ -126,3 +126,35 @@ def _(read):
     o, p = both(read)
     d = utility.ml_utility(o, p, ["o_totalprice", "o_orderpriority"], "o_orderstatus")
     return o.sparkSession.createDataFrame([(k, float(v)) for k, v in d.items()], "part string, accuracy double")
+
+
+_EMPTIED = "(SELECT o_orderpriority, CASE WHEN a >= {t} THEN a END AS a, CASE WHEN b >= {t} THEN b END AS b FROM x)"
+
+
+@query("ut3_tabular", f"""WITH x AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'P') AS b FROM orders GROUP BY 1), y AS {_EMPTIED.format(t=100)},
+c AS (SELECT x.a AS o, y.a // 10 * 10 AS p FROM x JOIN y USING (o_orderpriority) UNION ALL SELECT x.b, y.b // 10 * 10 FROM x JOIN y USING (o_orderpriority)),
+m AS (SELECT 1 - count(p) / count(*) AS s, coalesce(avg(abs(o - p)), 0) AS d, coalesce(avg(abs(o - p)) / nullif(avg(abs(o)) FILTER (p IS NOT NULL), 0), 0) AS r, CASE WHEN count(p) = 0 THEN 0 WHEN sum(o) FILTER (p IS NOT NULL) > 0 THEN least(1, sum(p) / sum(o) FILTER (p IS NOT NULL)) ELSE (sum(p) = 0)::INT END AS k FROM c)
+SELECT round(s, 6) AS suppression_rate, round(d, 6) AS mean_abs_deviation, round(r, 6) AS relative_deviation, round(k, 6) AS sum_preserved, round(0.4 * s + 0.3 * least(r, 1) + 0.3 * (1 - k), 6) AS information_loss, round(greatest(0, 1 - (0.4 * s + 0.3 * least(r, 1) + 0.3 * (1 - k))), 6) AS utility_score FROM m""")
+def _(read):
+    o = read("orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") == "P").alias("b"))
+    p = o.select("o_orderpriority", *[F.when(F.col(c) >= 100, F.floor(F.col(c) / 10) * 10).alias(c) for c in "ab"])
+    return r6(utility.tabular(o, p, ["o_orderpriority"]))
+
+
+_ETA = "(SELECT sum(n * pow(m - a, 2)) / (sum(n * pow(m - a, 2)) + sum(n * s)) FROM (SELECT count(*) AS n, avg(p_retailprice) AS m, var_pop(p_retailprice) AS s FROM part GROUP BY {g}), (SELECT avg(p_retailprice) AS a FROM part))"
+
+
+@query("ut8_relation_kept", f"SELECT round(CASE WHEN o > 0.01 THEN least(1, p / o) ELSE 1 END, 6) AS kept FROM (SELECT {_ETA.format(g='p_type')} AS o, {_ETA.format(g='left(p_type, 5)')} AS p)")
+def _(read):
+    d = read("part")
+    return r6(d.sparkSession.createDataFrame([(float(utility.relation_kept(d, d.withColumn("p_type", F.substring("p_type", 1, 5)), "p_type", ["p_retailprice"])),)], "kept double"))
+
+
+@query("ut13_cross_tab_gate", """WITH p AS (SELECT o_orderstatus, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.5 ELSE o_totalprice * 3 END AS o_totalprice FROM orders),
+g AS (SELECT 'o_orderstatus' AS qi, 1 - avg(least(abs(b - a) / abs(a), 1)) AS x FROM (SELECT o_orderstatus AS g, avg(o_totalprice) AS a FROM orders GROUP BY 1) JOIN (SELECT o_orderstatus AS g, avg(o_totalprice) AS b FROM p GROUP BY 1) USING (g)
+UNION ALL SELECT 'o_orderpriority', 1 - avg(least(abs(b - a) / abs(a), 1)) FROM (SELECT o_orderpriority AS g, avg(o_totalprice) AS a FROM orders GROUP BY 1) JOIN (SELECT o_orderpriority AS g, avg(o_totalprice) AS b FROM p GROUP BY 1) USING (g))
+SELECT round(avg(x), 6) AS mean_preservation, 'o_totalprice' AS worst_sensitive, arg_min(qi, x) AS worst_qi, round(min(x), 6) AS worst_preservation, count(*) AS n_pairs, avg(x) < 0.6 AS degraded FROM g""")
+def _(read):
+    o = read("orders")
+    p = o.withColumn("o_totalprice", F.col("o_totalprice") * F.when(F.col("o_orderstatus") == "F", 1.5).otherwise(3.0))
+    return r6(utility.cross_tab_gate(utility.cross_tabs(o, p, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])))

@@ -5,7 +5,7 @@ from hushframe.functions import cells, hierarchy
 from hushframe.operators import detect, generalize, kanon, locsupr, perturb, swap, utility
 from hushframe.operators.ec import with_row_id
 from hushframe.operators.risk import k_check
-from hushframe.plans import advice, engine, preprocess, rules
+from hushframe.plans import advice, engine, preprocess, review, rules
 from hushframe.plans.features import features
 from hushframe.sources import io
 from tests import fixtures_tables as fx
@@ -224,3 +224,48 @@ def test_advice(spark):
     assert advice.noise_advice(d, ["age"]).parameters["kind"] == "gaussian"
     assert any("rows are few" in w for w in advice.warnings(d.limit(50), qis))
     assert advice.recommendations(features(d, qis)) == []
+
+
+def test_preference_and_trace():
+    c = rules.Choice("R", "kANON", {"k": 5}, [("PRAM", {"p_change": 0.2}), ("LOCSUPR", {"k": 3})], trace=["R"])
+    got = rules.prefer(c, "LOCSUPR")
+    assert (got.method, got.parameters, got.fallbacks) == ("LOCSUPR", {"k": 3}, [("kANON", {"k": 5}), ("PRAM", {"p_change": 0.2})])
+    assert got.trace == ["R", "preferred:LOCSUPR"] and rules.prefer(c, "NOISE") is c and rules.prefer(c, None) is c
+
+
+def _result(method, after, score, suppressed, target=0.05):
+    return engine.Protected(None, method, {}, 0.2, after, {"score": score}, suppressed, target)
+
+
+def test_challenge_gates(spark):
+    rows, schema, qis = fx.low1()
+    f = features(spark.createDataFrame(rows, schema), qis)
+    best = _result("kANON", 0.04, 0.70, 0.10)
+    assert engine.challenge_parameters(f, best) == {"variables": f.categorical, "p_change": round(min(0.35, 0.15 + 0.3 * f.r95), 2)}
+    assert engine.challenge_parameters(f, _result("kANON", 0.04, 0.70, 0.01)) is None
+    assert engine.challenge_parameters(f, _result("NOISE", 0.04, 0.70, 0.10)) is None
+    assert engine.challenge_parameters(f, _result("kANON", 0.40, 0.70, 0.10)) is None
+    assert engine.wins(_result("PRAM", 0.04, 0.74, 0.0), best) and not engine.wins(_result("PRAM", 0.04, 0.72, 0.0), best) and not engine.wins(_result("PRAM", 0.06, 0.90, 0.0), best)
+
+
+def test_apply_and_validate_retries_once(spark):
+    rows = [(f"g{g}", g * 100 + i) for g in range(30) for i in range(5 if g < 10 else 7)]
+    d = spark.createDataFrame(rows, "g string, id long")
+    run = lambda target: engine.apply_and_validate(d, ["g"], "kANON", {"k": 5, "strategy": "suppression"}, target=target, key="id")
+    best, wrong = run(0.25)
+    assert best.parameters["k"] == 5 and not wrong
+    best, wrong = run(0.15)
+    assert best.parameters["k"] == 7 and best.met and not wrong
+    best, wrong = run(0.01)
+    assert "the risk target is missed" in wrong
+
+
+def test_guidance_grades_and_candidates(spark):
+    assert review.guidance(0.04, 0.05, 0.0, 0.9, "kANON", ["a"], {"a": 3}) == []
+    assert len(review.guidance(0.5, 0.05, 0.4, 0.3, "PRAM", list("abcde"), {"c": 9})) == 5
+    assert [review.grade(*x) for x in ((0.04, 0.05, 0.8), (0.04, 0.05, 0.6), (0.04, 0.05, 0.1), (0.054, 0.05, 0.9), (0.2, 0.05, 0.9))] == ["good", "fair", "poor", "near_miss", "failed"]
+    assert generalize.candidates(10, 12) == [12, 10, 5] and generalize.candidates(10, 100, "heavy") == [10, 5, 3] and generalize.candidates(10, 100, "light") == [20, 15, 10]
+    d = spark.range(1000).select((F.col("id") % 100).alias("v"))
+    out, bins = generalize.generalize_adaptively(d, "v", 10, lambda x: x.distinct().count() <= 12)
+    assert bins == 10 and out.distinct().count() <= 12
+    assert utility.blended(1.0, [0.5, 0.7]) == pytest.approx(0.6) and utility.blended(0.5, [0.7]) == pytest.approx(0.6)
