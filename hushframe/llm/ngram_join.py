@@ -288,15 +288,18 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
 
     segments = of(ends(near).unionByName(big.select("sid")))
     labels = join(_verify(near, segments, percent).select("a", "b"))
-    # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG are compared with one of
-    # each list, which gathers most, then meet in blocks; in the others each pair that components still separate counts what it
-    # has in common
+    # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG are compared with two of
+    # each list, which gathers most, then those of lists that hold several components meet in blocks; in the other lists each
+    # pair that components still separate counts what it has in common
     crowded = cut(long.join(sizes.where(F.col("size") > BIG).select("h"), "h"))
-    for least in (True, False):
-        pairs = cut(_pivot_pairs(crowded, labels, percent, least))
-        if not pairs.isEmpty():
-            labels = join(_verify(pairs, segments, percent).select("a", "b"))
-    labels = join(_block_links(cut(named(big)), segments, percent))
+    pairs = cut(_pivot_pairs(crowded, labels, percent, True).unionByName(_pivot_pairs(crowded, labels, percent, False)).distinct())
+    if not pairs.isEmpty():
+        labels = join(_verify(pairs, segments, percent).select("a", "b"))
+    # two sets that are still apart and share a list make that list hold two components: only sets of such lists go on
+    open_ = named(crowded).groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    big = cut(named(crowded.join(open_, "h", "left_semi").groupBy("sid").agg(F.first("n").alias("n"))))
+    if not big.isEmpty():
+        labels = join(_block_links(big, segments, percent))
     apart = named(long.join(sizes.where(F.col("size") <= BIG), "h")).join(longs.select("sid", F.size("hs").alias("longs")), "sid")
     mixed = cut(apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h"))
     apart = cut(apart.join(mixed, "h"))
