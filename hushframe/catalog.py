@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import queries_cells, queries_plans, queries_protect, queries_risk, queries_utility  # noqa: E402, F401
+from . import queries_cells, queries_facts, queries_plans, queries_protect, queries_risk, queries_utility  # noqa: E402, F401

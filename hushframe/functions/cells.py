@@ -176,6 +176,22 @@ def top_values(df: DataFrame, column: str, keep: int, other: str = "Other") -> D
     return df.withColumn(column, F.when(F.col(column).isNull() | F.col(column).isin(kept[:keep]), F.col(column)).otherwise(F.lit(other)))
 
 
+def derived(df: DataFrame, column: str, how: str, keep: int = 10, bins: int = 10, mapping: dict[str, str] | None = None) -> DataFrame:
+    """A recoded copy beside a column: {column}_topk (most frequent values, else Other), {column}_binned (quantile bins) or
+    {column}_generalized (by a map, unmapped values as Other). Null stays null; too few rows for bins leave the copy null."""
+    c = F.col(column)
+    if how == "topk":
+        name = f"{column}_topk"
+        return top_values(df.withColumn(name, c), name, keep)
+    if how == "binned":
+        edges = quantile_edges(df, column, bins)
+        return df.withColumn(f"{column}_binned", by_edges(c, edges) if len(edges) > 2 else F.lit(None).cast("string"))
+    if how == "generalized":
+        known = F.coalesce(*[F.when(c.cast("string") == a, F.lit(b)) for a, b in (mapping or {}).items()], F.lit("Other"))
+        return df.withColumn(f"{column}_generalized", F.when(c.isNotNull(), known))
+    raise ValueError(f"unknown recoding {how}")
+
+
 def remap(c: Column, mapping: dict[str, str]) -> Column:
     """Mapped values, unmapped ones as they are."""
     if not mapping:

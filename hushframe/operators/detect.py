@@ -174,6 +174,49 @@ def qi_scores(df: DataFrame, profiled: dict[str, Column] | None = None) -> dict[
     return out
 
 
+def simple_qis(df: DataFrame, most: int = 5) -> list[str]:
+    """Up to `most` likely quasi-identifiers by name (3) and by few values (2 up to 20, 1 up to 50), best first, ties in table order.
+
+    Names count where they are definite or probable ones; identifiers are never among them.
+    """
+    scores = {}
+    for c, p in profile(df).items():
+        if p.kind != "identifier":
+            few = p.kind in ("categorical", "binary") and p.distinct >= 2
+            scores[c] = (3 if name_score(c) >= 0.55 else 0) + (0 if not few else 2 if p.distinct <= 20 else 1 if p.distinct <= 50 else 0)
+    return sorted([c for c, s in scores.items() if s], key=lambda c: -scores[c])[:most]
+
+
+#: Most values of a quasi-identifier and most quasi-identifiers, by access tier.
+TIER_LIMITS = {"PUBLIC": (50, 5), "SCIENTIFIC": (100, 6), "SECURE": (200, 8)}
+#: Name parts whose values form a hierarchy.
+HIERARCHIC = ["municipality", "postal", "occupation", "code"]
+
+
+def handling(df: DataFrame, tier: str = "SCIENTIFIC") -> DataFrame:
+    """(column, role, distinct, strategy): what each column is, and how a quasi-identifier of too many values for its tier is cut.
+
+    Roles: direct_identifier (by name or over 90 % distinct values), sensitive (by name), quasi_identifier (by name, or 2 to 100
+    values), safe (one value, or a number of more), else unassigned. Strategies: hierarchy, binning, top_k, else null.
+    """
+    limit, kinds = TIER_LIMITS[tier][0], dict(df.dtypes)
+    rows = []
+    for c, p in profile(df).items():
+        number, strategy = kinds[c] in NUMERIC or kinds[c].startswith("decimal"), None
+        if identifier_by_name(c) or p.ratio > 0.9:
+            role = "direct_identifier"
+        elif any(w in SENSITIVE_NAMES for w in tokens(c)):
+            role = "sensitive"
+        elif name_score(c) >= 0.55 or 2 <= p.distinct <= 100:
+            role = "quasi_identifier"
+            if p.distinct > limit:
+                strategy = "hierarchy" if any(w in HIERARCHIC for w in tokens(c)) else "binning" if number else "top_k"
+        else:
+            role = "safe" if p.distinct < 2 or number else "unassigned"
+        rows.append((c, role, p.distinct, strategy))
+    return df.sparkSession.createDataFrame(rows, "column string, role string, distinct long, strategy string")
+
+
 def sensitive_score(c: Column) -> float:
     named = any(w in SENSITIVE_NAMES for w in tokens(c.name))
     return (0.6 if named else 0.0) + (0.2 if c.kind in ("continuous", "categorical") and c.distinct > 2 else 0.0) + (0.1 if c.kind == "continuous" else 0.0)

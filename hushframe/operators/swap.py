@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cells import global_rank
-from .ec import require, uniform
+from .ec import require, uniform, with_class_size
 
 
 def rank_swap(df: DataFrame, columns: list[str], rid: str, share: float = 0.05, seed: int = 1) -> DataFrame:
@@ -33,15 +33,14 @@ def record_swap(df: DataFrame, swap: list[str], match: list[str], rid: str, k: i
     """Exchanges the `swap` values of records in classes under k (over swap and match) with a drawn neighbour that agrees on
     `match`. Records pair up in hashed order inside their match group; a record without a partner keeps its values."""
     require(df, [*swap, *match, rid])
-    size = F.count("*").over(W.partitionBy(*swap, *match))
-    d = df.withColumn("_risky", size < k).withColumn("_g", F.xxhash64(*match))
-    order = W.partitionBy("_g", "_risky").orderBy(uniform(F.col(rid), seed, "swap"), rid)
-    d = d.withColumn("_i", F.row_number().over(order))
-    pair = W.partitionBy("_g", "_risky", F.floor((F.col("_i") - 1) / 2)).orderBy("_i")
+    sized = with_class_size(df, [*swap, *match], "_size")
+    risky, calm = sized.where(F.col("_size") < k), sized.where(F.col("_size") >= k)  # only risky rows are put in order
+    d = risky.withColumn("_i", F.row_number().over(W.partitionBy(*match).orderBy(uniform(F.col(rid), seed, "swap"), rid)))
+    pair = W.partitionBy(*match, F.floor((F.col("_i") - 1) / 2)).orderBy("_i")
     for c in swap:
         other = F.coalesce(F.lead(F.struct(c)).over(pair), F.lag(F.struct(c)).over(pair))
-        d = d.withColumn(f"_n_{c}", F.when(F.col("_risky") & other.isNotNull(), other[c]).otherwise(F.col(c)))
-    return d.select(*[F.col(f"_n_{c}").alias(c) if c in swap else F.col(c) for c in df.columns])
+        d = d.withColumn(f"_n_{c}", F.when(other.isNotNull(), other[c]).otherwise(F.col(c)))
+    return d.select(*[F.col(f"_n_{c}").alias(c) if c in swap else F.col(c) for c in df.columns]).unionByName(calm.select(*df.columns))
 
 
 def pareto(results: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:

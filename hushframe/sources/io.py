@@ -79,6 +79,33 @@ def recover_types(df: DataFrame, least: float = 0.8, eu_numbers: bool = True) ->
     return df.withColumns(out) if out else df
 
 
+#: Words in a column's label that ask for numbers.
+NUMERIC_LABELS = ["numeric", "continuous", "integer", "float", "coded"]
+
+
+def coerce(df: DataFrame, labels: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+    """Text columns labelled numeric become numbers where over half of their filled values parse; what does not parse is null.
+
+    Where the plain reading takes under half, the European one counts if it takes more. One aggregate decides for all columns.
+    """
+    asked = lambda c: any(w in labels.get(c, "").lower() for w in NUMERIC_LABELS)
+    text = [c for c, t in df.dtypes if t == "string" and asked(c) and (columns is None or c in columns)]
+    if not text:
+        return df
+    full = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    number = lambda v: F.when(~F.isnan(v), v)
+    readings = {c: (number(full(c).try_cast("double")), number(european(full(c)))) for c in text}
+    r = df.agg(*[F.struct(F.count(full(c)).alias("n"), F.count(a).alias("a"), F.count(b).alias("b")).alias(c) for c, (a, b) in readings.items()]).first()
+    out = {}
+    for c, (plain, eu) in readings.items():
+        n, a, b = r[c]
+        if 2 * a < n and b > a:
+            plain, a = eu, b
+        if 2 * a > n:
+            out[c] = plain
+    return df.withColumns(out)
+
+
 def export(df: DataFrame, path: str, kind: str = "csv", metadata: dict | None = None) -> None:
     """Writes a table as csv, parquet, orc or json, its metadata as one JSON text beside it."""
     if kind not in ("csv", "parquet", "orc", "json"):

@@ -269,3 +269,26 @@ def test_guidance_grades_and_candidates(spark):
     out, bins = generalize.generalize_adaptively(d, "v", 10, lambda x: x.distinct().count() <= 12)
     assert bins == 10 and out.distinct().count() <= 12
     assert utility.blended(1.0, [0.5, 0.7]) == pytest.approx(0.6) and utility.blended(0.5, [0.7]) == pytest.approx(0.6)
+
+
+def test_coerce_needs_over_half_and_keeps_the_rest(spark):
+    d = spark.createDataFrame([("1", "1.234,5", "x", "7"), ("2", "2,5", "3", None), ("", "abc", "y", "8"), (None, "7", "z", "?")], "a string, b string, c string, d string")
+    out = io.coerce(d, {"a": "Coded", "b": "Numeric", "c": "Numeric", "d": "Character"})
+    assert dict(out.dtypes) == {"a": "double", "b": "double", "c": "string", "d": "string"}
+    assert [r["b"] for r in out.collect()] == [1234.5, 2.5, None, 7.0] and [r["a"] for r in out.collect()] == [1.0, 2.0, None, None]
+
+
+def test_derived_columns_stand_beside_their_source(spark):
+    d = spark.createDataFrame([(i, "a" if i < 6 else "b" if i < 9 else "c", float(i)) for i in range(10)] + [(10, None, None)], "id long, c string, v double")
+    top = cells.derived(d, "c", "topk", keep=1)
+    assert [r["c_topk"] for r in top.orderBy("id").collect()] == ["a"] * 6 + ["Other"] * 4 + [None] and top.drop("c_topk").columns == d.columns
+    assert cells.derived(d, "v", "binned", bins=2).select("v_binned").distinct().count() == 3
+    assert cells.derived(d.limit(0), "v", "binned").columns == [*d.columns, "v_binned"]
+
+
+def test_record_swap_touches_risky_rows_alone(spark):
+    rows = [(i, "r" if i < 40 else f"q{i}", "m" if i % 2 else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, a string, g string")
+    out = {r["id"]: r for r in swap.record_swap(d, ["a"], ["g"], "id", 5).collect()}
+    assert all(out[i]["a"] == "r" for i in range(40)) and sorted(r["a"] for r in out.values()) == sorted(r[1] for r in rows)
+    assert all(out[i]["a"] != f"q{i}" and rows[int(out[i]["a"][1:])][2] == rows[i][2] for i in range(40, 60))
