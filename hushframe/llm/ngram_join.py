@@ -246,6 +246,19 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return partial.groupBy("a", "b", "c", "na", "nb").agg((F.col("c") + F.sum("part")).alias("shared")).where(enough(F.col("shared"))).select("a", "b", "shared")
 
 
+def _prefixes(docs: DataFrame, percent: int, k: int):
+    """Rows (doc_id, n, sid), the postings of all prefixes, and a function from sids to the segments of their sets."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, frequent = signatures(d, k)
+    top = frequent.orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
+    top = d.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)))
+    postings = _postings(d, top, percent, k)
+    one_set = F.assert_true(F.col("lo") == F.col("hi"), F.lit("two sets share a 63-bit identity"))
+    owners = rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")).where(one_set.isNull())
+    of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi").select("sid", "doc_id"), top, k)
+    return rows, postings, of
+
+
 def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, and (sid, component) of the sets that are linked to another set.
 
@@ -257,11 +270,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     pairs make no rows. Overlaps of candidates are counted for each
     fragment of the order and summed. Links inside a component are not looked for; none between components is missed.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, frequent = signatures(d, k)
-    top = frequent.orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
-    top = d.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)))
-    postings = _postings(d, top, percent, k)
+    rows, postings, of = _prefixes(docs, percent, k)
     hot = postings.where("hot").groupBy("h", "sid").agg(F.first("n").alias("n"))
     none = lambda t: F.lit(None).cast(t)
     lists = cut(_list_pairs(postings.where("NOT hot"), percent).unionByName(hot.select("h", F.col("sid").alias("a"), none("long").alias("b"), "n", none("int").alias("m"))))
@@ -273,9 +282,6 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     sizes = cut(long.groupBy("h").agg(F.count("*").alias("size")))
     big = cut(long.join(sizes.where(F.col("size") > BIG), "h").groupBy("sid").agg(F.first("n").alias("n")))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    one_set = F.assert_true(F.col("lo") == F.col("hi"), F.lit("two sets share a 63-bit identity"))
-    owners = rows.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")).where(one_set.isNull())
-    of = lambda sids: _segments(d, owners.join(sids.distinct(), "sid", "left_semi").select("sid", "doc_id"), top, k)
     labels = cut(ends(near).unionByName(long.select("sid")).distinct().select(F.col("sid").alias("node"), F.col("sid").alias("component")))
     named = lambda df: df.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
 
@@ -324,8 +330,9 @@ def _pivot_pairs(lists: DataFrame, labels: DataFrame, percent: int, least: bool)
     return d.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
 
-def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do.
+def _block_links(sets: DataFrame, segments: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): links that join the components of the given (sid, n, component) as similar pairs do; if `every`, all similar
+    pairs with a < b and the shingles that they share.
 
     Sets go to size bands and inside them to blocks of bounded sets and shingles; a task holds two blocks of one band or of
     neighbouring ones, counts overlaps shingle by shingle and tells at most one link for each component in it, never the
@@ -338,7 +345,7 @@ def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
     large = (2 * F.col("k") > BLOCK_SETS) | (2 * F.col("s") > BLOCK_SHINGLES)
     per = per.groupBy("g", F.when(large, F.col("component")).alias("owner")).agg(F.sum("k").alias("k"), F.sum("s").alias("s")).collect()
     if not per:
-        return sets.select(F.col("component").alias("a"), F.col("component").alias("b"))
+        return sets.select(F.col("component").alias("a"), F.col("component").alias("b"), *([F.lit(0).cast("long").alias("shared")] if every else []))
     # blocks of each band, numbered: those of the pool first, then of each large component
     groups, blocks, used = [], [], {}
     for r in sorted(per, key=lambda r: (r["g"], r["owner"] is not None, r["owner"] or 0)):
@@ -387,6 +394,12 @@ def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         label = np.arange(len(names))
         if counts.size:
             linked = (100 + percent) * counts.astype(np.int64) >= percent * (n[0][:, None] + n[1][None, :])
+            if every:
+                i, j = np.nonzero(linked)
+                ids = [np.array([rows[x][0] for x in side], np.int64) for side in sides]
+                a, b = np.minimum(ids[0][i], ids[1][j]), np.maximum(ids[0][i], ids[1][j])
+                new = a < b
+                return pa.table({"a": a[new], "b": b[new], "shared": counts[i, j][new].astype(np.int64)})
             while True:  # the least label of all that links reach
                 la, lb, new = label[wa], label[wb], label.copy()
                 np.minimum.at(new, wb, np.where(linked, la[:, None], len(names)).min(axis=0))
@@ -394,10 +407,49 @@ def _block_links(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
                 if (new == label).all():
                     break
                 label = new
+        if every:
+            return pa.table({c: np.empty(0, np.int64) for c in ("a", "b", "shared")})
         moved = np.flatnonzero(label != np.arange(len(names)))
         return pa.table({"a": names[moved], "b": names[label[moved]]})
 
-    return placed.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+    return placed.groupBy("key").applyInArrow(run, "a long, b long, shared long" if every else "a long, b long").distinct()
+
+
+def links(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid) of every row, and (a, b, shared): each link between two different sets once, a < b.
+
+    Sets whose prefixes share a shingle of at most BIG sets are paired and verified by fragments; those of more frequent ones
+    meet in blocks, where similar pairs alone become rows. Equal sets have one sid; their copies are not expanded. Null and
+    empty texts have no links. The blocks' shuffle grows with the sets of frequent shingles in a size band times their blocks.
+    """
+    with tidy(docs.sparkSession):
+        rows, postings, of = _prefixes(docs, percent, k)
+        lists = cut(postings.groupBy("h", "sid").agg(F.first("n").alias("n")))
+        sizes = cut(lists.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
+        short = lists.join(sizes.where(F.col("size") <= BIG).select("h"), "h")
+        near = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        pairs = short.alias("x").join(short.alias("y"), "h").where((F.col("x.sid") < F.col("y.sid")) & near)
+        pairs = cut(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+        big = cut(lists.join(sizes.where(F.col("size") > BIG).select("h"), "h").groupBy("sid").agg(F.first("n").alias("n")))
+        segments = of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(big.select("sid")))
+        found = _verify(pairs, segments, percent)
+        if not big.isEmpty():
+            found = found.unionByName(_block_links(big.withColumn("component", F.col("sid")), segments, percent, True))
+        return cut(rows.select("doc_id", "n", "sid")), cut(found.select("a", "b", F.col("shared").cast("long").alias("shared")).distinct())
+
+
+def link_counts(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, n_links): for each row, how many other rows it is linked with, copies of its own text included.
+
+    Rows without words have none; rows that repeat a doc_id, and those with a null one, count as rows of their own.
+    """
+    rows, pairs = links(docs, percent, k)
+    size = rows.where("n > 0").groupBy("sid").agg(F.count("*").alias("rows"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size.select(F.col("sid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("others"))
+    d = rows.join(size, "sid", "left").join(others, "sid", "left")
+    count = F.coalesce(F.col("rows") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
+    return d.select("doc_id", F.col("n").alias("n_shingles"), count.cast("long").alias("n_links"))
 
 
 def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:

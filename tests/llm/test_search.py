@@ -75,6 +75,28 @@ def test_ngram_join(spark, monkeypatch, short, big, block):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("big, block", [(128, 512), (4, 8)])
+def test_ngram_join_tells_every_link(spark, monkeypatch, big, block):
+    monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rows = [*corpus(5), (7, "One", "s"), (None, "one", "s")]
+    sets = [shingles(t) for _, t, _ in rows]
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = sorted((i or 0, len(x), sum(near(x, y) for y in sets) - bool(x)) for (i, _, _), x in zip(rows, sets))
+    d = spark.createDataFrame(rows, DOCS).repartition(5)
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in ngram_join.link_counts(d).collect()) == want
+    found = ngram_join.links(d)[1]
+    different = {x for x in sets if x}
+    assert found.count() == found.select("a", "b").distinct().count() == sum(near(x, y) for x, y in itertools.combinations(different, 2))
+
+
+def test_ngram_join_links_of_nothing(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert ngram_join.link_counts(none).count() == 0 and ngram_join.links(none)[1].count() == 0
+    bare = spark.createDataFrame([(1, None, "s"), (2, " ", "s")], DOCS)
+    assert {tuple(r) for r in ngram_join.link_counts(bare).collect()} == {(1, 0, 0), (2, 0, 0)}
+
+
 def test_ngram_join_nulls_and_repeats(spark):
     rows = [(None, "a b c d e f", "s"), (5, "a b c d e f", "s"), (5, "a b c d e f", "s"), (7, "A b c d e f", None)]
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(rows, DOCS)).collect())
