@@ -13,10 +13,13 @@ from .hashing import slices, word_hashes
 
 #: Fragments of the order in which overlaps are counted apart.
 FRAGMENTS = 4
-#: Shingles whose local counts meet in one piece of memory, and the least local count that is told.
-CHUNK, TELL = 2_000_000, 4
+#: Shingles whose local counts meet in one piece of memory, the least local count that is told, and the least sum of told ones
+#: of a frequent shingle. In C pieces, one of D documents is told about D * D / C times, so D is found from about sqrt(OFTEN * C).
+CHUNK, TELL, OFTEN = 2_000_000, 2, 6
 #: Most shingles that the order puts last as frequent; any choice gives the same links.
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 19
+#: Bits of the filter of documents whose sets are looked up.
+SLOTS = 1 << 25
 #: Longest posting list whose pairs are all formed at once.
 SHORT = 24
 #: Longest list whose pairs are joined in the exact step; sets and shingles of a block in which those of larger ones meet.
@@ -49,8 +52,8 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid, check) of every row, and (h, df) of frequent shingles.
 
     sid identifies a set; equal sets share it. With 63 bits, n distinct sets collide in n*n/2**64 pairs, as many as one at four
-    billion sets; `check` has further bits, which similar_sets() compares, so a collision is an error and no link. Counts of shingles come from all documents: a chunk of two million
-    shingles tells those that it holds four times.
+    billion sets; `check` has further bits, which similar_sets() compares, so a collision is an error and no link. Counts of
+    shingles come from all documents: a chunk of two million shingles tells those that it holds twice.
     """
 
     def run(batches):
@@ -80,7 +83,7 @@ def signatures(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
             yield told()
 
     out = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, check long, h long, df long"))
-    frequent = out.where("h IS NOT NULL").groupBy("h").agg(F.sum("df").alias("df")).where("df >= 32")
+    frequent = out.where("h IS NOT NULL").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= OFTEN)
     return out.where("sid IS NOT NULL").select("doc_id", "n", "sid", "check"), frequent
 
 
@@ -185,13 +188,41 @@ def _hot(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits with the slots (see _marked) of all ids of the column doc_id set."""
+    x = F.col("doc_id")
+    slot = x.bitwiseXOR(F.shiftrightunsigned(x, 25)).bitwiseAND(F.lit(SLOTS - 1).cast("long")) + 1
+    slots = ids.where("doc_id IS NOT NULL").select(slot.alias("s"))
+    parts = slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    marks = np.zeros(SLOTS // 8, np.uint8)
+    for bucket, bits in parts.collect():
+        part = np.frombuffer(bits, np.uint8)
+        marks[(bucket - 1) * len(part) : bucket * len(part)] = part[: max(0, len(marks) - (bucket - 1) * len(part))]
+    return marks
+
+
+def _marked(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Which ids, none of them null, have their slot set: all that were marked and a few others."""
+    x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    slot = (x ^ (x >> np.uint64(25))) & np.uint64(8 * len(marks) - 1)
+    return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _segments(docs: DataFrame, needed: DataFrame, often, k: int) -> DataFrame:
     """(sid, n, head, tail): the sets of the needed (doc_id, sid), cut into FRAGMENTS of the order of shingles that also gives
     the prefixes: ranges of the hashes of rare ones, the first of them apart, and the frequent ones last.
 
-    Partitioned by sid once and written, so that later joins move pairs only. A repeated doc_id may repeat a row. A needed
-    set without a doc_id is looked up by its sid among the rows that have none.
+    A filter of bounded size picks the documents, so no text is shuffled; it may let a few more through. Partitioned by sid
+    once and written, so that later joins move pairs only. A repeated doc_id, or a copy that the filter lets through, may
+    repeat a row. A needed set without a doc_id is looked up by its sid among the rows that have none.
     """
+    spark = docs.sparkSession
+    needed = cut(needed)
+    marks = spark.sparkContext.broadcast(_marks(needed))
+
+    def picked(batches):
+        for b in batches:
+            yield from run([b.filter(pa.array(_marked(b.column("doc_id"), marks.value)))])
 
     def run(batches):
         frequent = often.value
@@ -208,12 +239,10 @@ def _segments(docs: DataFrame, needed: DataFrame, often, k: int) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["sid", "n", "head", "tail"])
 
-    spark = docs.sparkSession
-    chosen = docs.join(needed.select(F.col("doc_id").alias("_n_doc"), F.col("sid").alias("_n_sid")), F.col("doc_id") == F.col("_n_doc"))
     shape = "sid long, n int, head array<long>, tail array<array<long>>"
     bare = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(run, shape)
     bare = bare.join(needed.where("doc_id IS NULL").select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-    made = chosen.select("doc_id", "text").mapInArrow(run, shape).unionByName(bare)
+    made = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(picked, shape).unionByName(bare)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan would not tell that its rows lie by sid
     try:
@@ -297,7 +326,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
     # a pair without common shingles in short lists has them in long ones only: sets of lists over BIG are compared with two of
     # each list, which gathers most, then those of lists that hold several components meet in blocks; in the other lists each
     # pair that components still separate counts what it has in common
-    crowded = cut(long.join(sizes.where(F.col("size") > BIG).select("h"), "h"))
+    crowded = cut(long.join(sizes.where(F.col("size") > BIG).select("h"), "h").join(longs.select("sid", F.size("hs").alias("longs")), "sid"))
     pairs = cut(_pivot_pairs(crowded, labels, percent, True).unionByName(_pivot_pairs(crowded, labels, percent, False)).distinct())
     if not pairs.isEmpty():
         labels = join(_verify(pairs, segments, percent).select("a", "b"))
@@ -322,11 +351,13 @@ def similar_sets(docs: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFr
 
 
 def _pivot_pairs(lists: DataFrame, labels: DataFrame, percent: int, least: bool) -> DataFrame:
-    """(a, b): in each list (h, sid, n), its least (or greatest) set with the others of near sizes in other components."""
+    """(a, b): in each list (h, sid, n, longs), its least (or greatest) set with those of other components that it may be similar
+    to: of near sizes, and both in enough long lists, as pairs that share a short one have been compared."""
     named = lists.join(labels.select(F.col("node").alias("sid"), "component"), "sid")
-    one = F.struct("sid", "n", "component")
+    one = F.struct("sid", "n", "component", "longs")
     pivot = named.groupBy("h").agg((F.min(one) if least else F.max(one)).alias("p"))
     d = named.join(pivot, "h").where((F.col("p.component") != F.col("component")) & (100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n")))
+    d = d.where(F.least("longs", "p.longs") >= _least_common(percent, F.col("n"), F.col("p.n")))
     return d.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
 

@@ -127,6 +127,32 @@ def test_ngram_join_of_a_template_with_many_fillings(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_ngram_join_orders_lines_of_unrelated_documents_last(spark, monkeypatch):
+    """A line that a piece of memory rarely holds twice is frequent all the same, so its list brings no candidates."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 1000)
+    r = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100)) + (f" {line}" if i % 20 == 0 else ""), "s") for i in range(1200)]
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    postings = ngram_join._prefixes(d, 80, 5)[1]
+    assert postings.where("NOT hot").groupBy("h").count().agg(F.max("count")).first()[0] <= 2
+    assert not any(r["component_id"] != r["doc_id"] for r in ngram_join.classes(d).collect())
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 16])
+def test_ngram_join_looks_sets_up_by_a_filter(spark, monkeypatch, slots):
+    """No text is shuffled; the filter holds every id, negative ones too, and letting others through changes nothing."""
+    monkeypatch.setattr(ngram_join, "SLOTS", slots)
+    ids = [-(2**62), -5, -1, 0, 1, 77, 2**40 + 3]
+    marks = ngram_join._marks(spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long"))
+    assert ngram_join._marked(pa.array(ids, pa.int64()), marks).all()
+    assert ngram_join._marked(pa.array(range(10_000, 20_000), pa.int64()), marks).sum() <= 10_000 * len(ids) / min(slots, 10_000) + len(ids)
+    rows = [(i - 60, t, s) for i, t, s in corpus(9)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(None, 3), (7, 7)]
