@@ -512,6 +512,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert all(r["taken"] in (r["size"], 2 * r["size"]) and r["size"] == len(words(r["text"])) for r in mixed)
 
 
+def test_pipeline_stage_of_unrelated_documents_with_common_lines(spark, monkeypatch):
+    """Near duplicates are found and no block is made for lists of a line that rare pieces of memory hold twice."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "CHUNK", 1000)
+    monkeypatch.setattr(ngram_join, "BIG", 8)
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
+    blocks, made = ngram_join._block_links, []
+    monkeypatch.setattr(ngram_join, "_block_links", lambda sets, *a: made.append(sets.count()) or blocks(sets, *a))
+    r = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100)) + (f" {line}" if i % 20 == 0 else ""), "s") for i in range(1200)]
+    rows += [(2000 + i, rows[i][1] + " end", "s") for i in range(0, 100, 10)]
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, d, "").collect()) == list(range(1200))
+    assert made == []
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = common.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
