@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grams, shingle_set, table, tidy
+from .common import cut, grams, packed, shingle_set, table, tidy, unpacked
 from .components import components
 from .hashing import slices, word_hashes
 
@@ -18,7 +18,7 @@ FRAGMENTS = 4
 CHUNK, TELL, OFTEN = 2_000_000, 2, 6
 #: Most shingles that the order puts last as frequent; any choice gives the same links.
 MOST_FREQUENT = 1 << 19
-#: Bits of the filter of documents whose sets are looked up.
+#: Bits of the filters of documents: those whose sets are looked up, and those that a list names.
 SLOTS = 1 << 25
 #: Longest posting list whose pairs are all formed at once.
 SHORT = 24
@@ -188,11 +188,14 @@ def _hot(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
 
 
+def _slot(x: Column) -> Column:
+    """An id's bit in a filter, as in _marked."""
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 25)).bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+
+
 def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of SLOTS bits with the slots (see _marked) of all ids of the column doc_id set."""
-    x = F.col("doc_id")
-    slot = x.bitwiseXOR(F.shiftrightunsigned(x, 25)).bitwiseAND(F.lit(SLOTS - 1).cast("long")) + 1
-    slots = ids.where("doc_id IS NOT NULL").select(slot.alias("s"))
+    """A bitmap of SLOTS bits with the slots of all ids of the column doc_id set."""
+    slots = ids.where("doc_id IS NOT NULL").select((_slot(F.col("doc_id")) + 1).alias("s"))
     parts = slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     marks = np.zeros(SLOTS // 8, np.uint8)
     for bucket, bits in parts.collect():
@@ -497,6 +500,23 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     return d.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column, doc_id); rows with a null one stay.
+
+    A filter of SLOTS bits, broadcast as words of 64 bits, lets all rows pass that no listed id can be; only the others, those
+    listed and a few more, are shuffled to be compared in full. docs are read twice.
+    """
+    at = _slot(F.col("id"))
+    word, bit = F.shiftrightunsigned(at, 6), at.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    ids = ids.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    filter_ = F.broadcast(ids.groupBy(word.alias("word")).agg(F.bit_or(set_bit).alias("bits")))
+    d = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"))
+    d = d.join(filter_, word == F.col("word"), "left").select("row", "id", F.coalesce(F.getbit("bits", bit) == 1, F.lit(False)).alias("maybe"))
+    kept = d.where("NOT maybe").select("row").unionByName(d.where("maybe").join(ids, "id", "left_anti").select("row"))
+    return unpacked(docs, kept)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 

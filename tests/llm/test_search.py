@@ -530,6 +530,41 @@ def test_pipeline_stage_of_unrelated_documents_with_common_lines(spark, monkeypa
     assert made == []
 
 
+def shuffled_bytes(spark, action):
+    """What `action` returns, and the bytes of shuffle that its stages write."""
+    store, lists = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists())
+    last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    out = action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    told = stages()
+    return out, sum(x.shuffleWriteBytes() for x in map(told.apply, range(told.size())) if x.stageId() > last)
+
+
+def test_pipeline_stage_drops_copies_without_a_shuffle_of_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(300)), "s") for i in range(300)]
+    rows += [(1000 + i, rows[i][1], "s") for i in range(10)] + [(None, rows[0][1], "s"), (None, None, "s"), (2000, "", None)]
+    d = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.near_duplicates(spark, d, "")
+    out, size = shuffled_bytes(spark, kept.collect)
+    assert sorted(map(str, out)) == sorted(str(x) for x in d.collect() if not 1000 <= (x["doc_id"] or 0) < 2000)
+    assert size < 0.3 * sum(len(t or "") for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("slots", [8, 64, 1 << 25])
+def test_without_compares_what_the_filter_stops(spark, monkeypatch, slots):
+    monkeypatch.setattr(ngram_join, "SLOTS", slots)
+    ids = [0, 1, 5, 63, 64, -1, -7, 2**62, -(2**63), 2**40 + 3, None]
+    d = spark.createDataFrame([(i, str(i), 1, "b") for i in ids + ids], "doc_id long, text string, id int, bits string")
+    for gone in ([], [5], [64, -1, 2**62, 99], ids):
+        out = ngram_join.without(d, spark.createDataFrame([(i,) for i in gone + gone], "doc_id long"))
+        assert out.columns == d.columns
+        assert sorted(x["text"] for x in out.collect()) == sorted(2 * [str(i) for i in ids if i is None or i not in gone])
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = common.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
