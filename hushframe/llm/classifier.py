@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,39 +102,43 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", most_rows: int
     return ftrl([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows], bits)
 
 
-def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BITS) -> DataFrame:
-    """docs with `score`: the model's probability of label 1, from sparse dot products.
-
-    Scores depend on the text alone. Null and empty texts get the constant's score; repeated rows the same score; a column of
-    the name is replaced.
-    """
+def _score(docs: DataFrame, model: np.ndarray, text: str, bits: int) -> Column:
+    """The model's probability of label 1. Texts alone go to Python and scores alone come back; the rows wait in the JVM."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(packed(docs), F.col(text).alias("text"))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = held.value
-        for b in batches:
-            for part in slices(b):
+        for texts in batches:
+            out = []
+            for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
                 rows, slots, weights = features(part.column("text"), bits)
                 total = np.bincount(rows, (w[slots] * weights).astype(np.float64), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-total)), pa.float64())], names=["row", "score"])
+                out.append(1 / (1 + np.exp(-total)))
+            yield pa.array(np.concatenate(out) if out else [], pa.float64())
+
+    return run(F.col(text).cast("string"))
+
 
-    return unpacked(docs, d.mapInArrow(run, d.select("row").schema.add("score", "double")), score=F.col("score"))
+def score(docs: DataFrame, model: np.ndarray, text: str = "text", bits: int = BITS) -> DataFrame:
+    """docs with `score`: the model's probability of label 1, from sparse dot products.
+
+    Scores depend on the text alone. Null and empty texts get the constant's score; repeated rows the same score; a column of
+    the name is replaced.
+    """
+    return unpacked(docs, docs.select(packed(docs), _score(docs, model, text, bits).alias("own")), score=F.col("own"))
 
 
 def keep_good(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
     """The rows of docs whose score reaches the threshold, all columns as they are."""
-    d = docs.select(packed(docs).alias("inner"), F.col(text).alias("text"))
-    good = score(d, model, "text", bits).where(F.col("score") >= threshold)
-    return good.select(*[F.col("inner").getField(c).alias(c) for c in docs.columns])
+    return docs.where(_score(docs, model, text, bits) >= threshold)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3, **training) -> DataFrame:
     """docs' other columns with `score` and `predicted` (1 where the score reaches the threshold), which replace their like."""
     others = docs.drop(text)
-    d = docs.select(packed(others).alias("inner"), F.col(text).alias("text"))
-    d = score(d, train(docs, labels, text, **training)).select(F.col("inner").alias("row"), "score")
-    return unpacked(others, d, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))
+    d = docs.select(packed(others), _score(docs, train(docs, labels, text, **training), text, training.get("bits", BITS)).alias("p"))
+    return unpacked(others, d, score=F.col("p"), predicted=(F.col("p") >= threshold).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

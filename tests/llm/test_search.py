@@ -329,6 +329,21 @@ def test_classifier_on_held_out_rows(spark):
     assert classifier.quality_classifier(d.limit(0), labels.limit(0)).count() == 0
 
 
+def test_classifier_sends_texts_alone_to_python_once(spark, monkeypatch):
+    d = common.table(spark, "/root/testdata/sf0.001", "documents").withColumn("score", F.lit("own"))
+    model = np.random.default_rng(5).normal(size=1 << classifier.BITS).astype(np.float32)
+    scored, good = classifier.score(d, model), classifier.keep_good(d, model)
+    monkeypatch.setattr(classifier, "train", lambda *a, **k: model)
+    for out in (scored, good, classifier.quality_classifier(d, None)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    rows, slots, weights = classifier.features(pa.array([x["text"] for x in d.collect()]))
+    plain = 1 / (1 + np.exp(-np.bincount(rows, (model[slots] * weights).astype(np.float64))))
+    assert np.allclose([x["score"] for x in scored.collect()], plain)
+    assert good.columns == d.columns and sorted(map(str, good.collect())) == sorted(str(x) for x, p in zip(d.collect(), plain) if p >= 0.3)
+
+
 def test_ftrl_against_the_plain_recurrence():
     """Per-coordinate follow-the-regularised-leader, one number at a time."""
     r = random.Random(4)
